@@ -46,3 +46,66 @@ def p3_share(spark: SparkSession, sf: str) -> DataFrame:
 
     records = table(spark, sf, "autalic")
     return shared_share(shared_spans(records), records).withColumnRenamed("row", "source_row")
+
+
+def _p4_members(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.group_splits import present_components, relations, split_records
+
+    manifest, targets = table(spark, sf, "split_manifest"), table(spark, sf, "targets")
+    related = relations([(manifest, "source_row", "group_id"), (targets, "source_row", "rule_b_group_id")])
+    return present_components(split_records(manifest), related)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.group_splits import conflicting_records
+
+    return conflicting_records(_p4_members(spark, sf)).withColumnRenamed("row", "source_row")
+
+
+def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.group_splits import assigned_records
+
+    return assigned_records(_p4_members(spark, sf)).withColumnRenamed("row", "source_row")
+
+
+def _p5_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.functions.text import strip
+
+    return table(spark, sf, "autalic").select(strip("example_id").alias("item"), "source_row").dropna().distinct()
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.consensus import consensus, valid_votes
+
+    labels, _ = consensus(valid_votes(table(spark, sf, "annotation_votes")))
+    odd = labels.where("top_votes >= 2 and consensus_label <> plurality_label")
+    return odd.join(_p5_rows(spark, sf), "item").select("source_row", "consensus_label")
+
+
+def p5_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.consensus import consensus, valid_votes
+
+    labels, _ = consensus(valid_votes(table(spark, sf, "annotation_votes")))
+    return labels.join(_p5_rows(spark, sf), "item", "right").select(
+        "source_row", "consensus_label", F.round("credibility", 4).alias("credibility"), F.coalesce("n_votes", F.lit(0)).alias("n_votes"), F.round("agreement", 6).alias("agreement")
+    )
+
+
+def p5_annotators(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.consensus import annotator_reliability, consensus, valid_votes
+
+    _, params = consensus(valid_votes(table(spark, sf, "annotation_votes")))
+    return annotator_reliability(params)
+
+
+def p5_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.consensus import krippendorff, valid_votes
+
+    return krippendorff(valid_votes(table(spark, sf, "annotation_votes")))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.link_groups import linked_groups
+
+    groups = linked_groups(table(spark, sf, "overlap_links"), table(spark, sf, "group_membership"))
+    return groups.select(F.col("group_id").alias("group_example_id"), F.col("id").alias("example_id"))
