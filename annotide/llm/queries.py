@@ -109,3 +109,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
     groups = linked_groups(table(spark, sf, "overlap_links"), table(spark, sf, "group_membership"))
     return groups.select(F.col("group_id").alias("group_example_id"), F.col("id").alias("example_id"))
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.encoding import encoded
+
+    return encoded(table(spark, sf, "documents"))
+
+
+def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.encoding import token_counts
+    from annotide.llm.packing import packed
+
+    return packed(token_counts(table(spark, sf, "documents"))).withColumnRenamed("item", "doc_id")
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.packing import fill_report
+
+    return fill_report(p9_pack(spark, sf))
