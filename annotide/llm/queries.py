@@ -128,3 +128,16 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     from annotide.llm.packing import fill_report
 
     return fill_report(p9_pack(spark, sf))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.readability import demanding, demanding_from, reading_levels
+
+    threshold = demanding_from(table(spark, sf, "reading_samples"))
+    return demanding(reading_levels(table(spark, sf, "documents")), threshold).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.readability import reading_levels
+
+    return reading_levels(table(spark, sf, "documents"))
