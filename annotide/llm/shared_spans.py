@@ -122,7 +122,7 @@ def _locate(span: int):
                     automaton.make_automaton()
                 for end, passage in automaton.iter(text):
                     at = end + 1 - WIDTH
-                    for column, value in zip(out, (passage, row, field, at, text[max(0, at - around) : at], text[end + 1 : end + 1 + around]), strict=True):
+                    for column, value in zip(out, (passage, row, field, at, text[max(0, at - around) : at], text[at : end + 1 + around]), strict=True):
                         column.append(value)
             if len(out[0]) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
@@ -153,8 +153,8 @@ def _verify(span: int):
             columns = [batch.column(i).to_pylist() for i in range(10)]
             for r1, f1, a1, b1, e1, r2, f2, a2, b2, e2 in zip(*columns, strict=True):
                 before, after = _common(b1[::-1], b2[::-1]), _common(e1, e2)
-                if before + WIDTH + after >= span:
-                    for column, value in zip(out, (r1, f1, a1 - before, r2, f2, a2 - before, before + WIDTH + after), strict=True):
+                if after >= WIDTH and before + after >= span:  # the passage itself is compared too, its hash isn't trusted
+                    for column, value in zip(out, (r1, f1, a1 - before, r2, f2, a2 - before, before + after), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int8(), pa.int32(), pa.int64(), pa.int8(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row_1", "field_1", "start_1", "row_2", "field_2", "start_2", "length"])
