@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Every character that Python's str.strip() and str.split() take for whitespace.
-WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+WHITESPACE = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: The same as a Java character class.
 BLANKS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
@@ -62,7 +62,7 @@ def has_placeholder(text: Column) -> Column:
 
 
 def has_replacement(text: Column) -> Column:
-    return F.contains(text, F.lit("�"))
+    return F.contains(text, F.lit(chr(0xFFFD)))
 
 
 def has_control(text: Column) -> Column:
