@@ -28,7 +28,8 @@ FUNCTION_WORDS = {
 _WORDS = {name: frozenset(text.split()) for name, text in FUNCTION_WORDS.items()}
 _TOKEN = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LINK = regex.compile(r"https?://\S+|www\.\S+|<[^<>\n]{1,80}>|\S+@\S+\.\S+")
-_HIDDEN = regex.compile("[​-‍⁠﻿­]")
+# Characters without width, and the soft hyphen.
+_HIDDEN = regex.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))) + "]")
 _LEAD = regex.compile(r"^[\s>]*(?:(?:[-*•+]|\d{1,3}[.)])\s+)*(?:[A-Z]{1,2}\d{1,2}:\s*)?")
 _SPEAKER = regex.compile(r"^[\s>]*[A-Z]{1,2}\d{1,2}:")
 _OPEN_END = regex.compile(r"[,;:(\[–—-][\"'”’*_]*$")
@@ -69,7 +70,8 @@ def _wrapped(lines: list[str]) -> bool:
     """Whether a block's line breaks mean nothing: lines of a fixed width or number of words, or sentences that end within lines only."""
     ends = sum(bool(_FULL_END.search(x)) for x in lines)
     inside = sum(len(_END.findall(x)) for x in lines) - ends
-    if len(lines) < 2 or not ends + inside:  # without any full stop, lines are all there is
+    pauses = sum(len(_PAUSE.findall(x)) for x in lines)
+    if len(lines) < 2 or not ends + inside or not inside and pauses < 0.4 * len(lines):  # lines are all there is
         return False
     width = max(map(len, lines))
     if len(lines) > 2 and width >= 20 and sum(len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(lines, lines[1:], strict=False)) >= 0.9 * (len(lines) - 1):
