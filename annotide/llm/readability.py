@@ -9,12 +9,12 @@ hyphenation-style rules, once for each distinct word of a process.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from statistics import median
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +26,34 @@ FUNCTION_WORDS = {
     "es": "el la los las de del y es un una que en para por con no se su sus al lo como más pero fue ha muy sin sobre este esta mi mis nos yo también hay porque cuando aunque todo qué demasiado",
 }
 _WORDS = {name: frozenset(text.split()) for name, text in FUNCTION_WORDS.items()}
-_TOKEN = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_LINK = regex.compile(r"https?://\S+|www\.\S+|<[^<>\n]{1,80}>|\S+@\S+\.\S+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LINK = re.compile(r"https?://\S+|www\.\S+|<[^<>\n]{1,80}>")
+_ADDRESS = re.compile(r"\S+@\S+\.\S+")
 # Characters without width, and the soft hyphen.
-_HIDDEN = regex.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))) + "]")
-_LEAD = regex.compile(r"^[\s>]*(?:(?:[-*•+]|\d{1,3}[.)])\s+)*(?:[A-Z]{1,2}\d{1,2}:\s*)?")
-_SPEAKER = regex.compile(r"^[\s>]*[A-Z]{1,2}\d{1,2}:")
-_OPEN_END = regex.compile(r"[,;:(\[–—-][\"'”’*_]*$")
-_END = regex.compile(r"[.!?…]+[\"'”’)\]*_]*(?=\s|$)")
-_FULL_END = regex.compile(r"[.!?…]+[\"'”’)\]*_]*$")
-_PAUSE = regex.compile(r"[,;:()–—]")
-_VOWELS = regex.compile(r"[aeiouyàâäáéèêëíîïóôöúùûüœæ]+")
+_HIDDEN = re.compile("[" + "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))) + "]")
+_LEAD = re.compile(r"^[\s>]*(?:(?:[-*•+]|\d{1,3}[.)])\s+)*(?:[A-Z]{1,2}\d{1,2}:\s*)?")
+_SPEAKER = re.compile(r"^[\s>]*[A-Z]{1,2}\d{1,2}:")
+_OPEN_END = re.compile(r"[,;:(\[–—-][\"'”’*_]*$")
+_END = re.compile(r"[.!?…]+[\"'”’)\]*_]*(?=\s|$)")
+_FULL_END = re.compile(r"[.!?…]+[\"'”’)\]*_]*$")
+_PAUSE = re.compile(r"[,;:()–—]")
+_VOWELS = re.compile(r"[aeiouyàâäáéèêëíîïóôöúùûüœæ]+")
 #: A run of words without any mark that is longer than this isn't one sentence; it counts as sentences of this many words.
 RUN_ON = 40
 PLAIN_SENTENCE = 12
-_SYLLABLES: dict[str, int] = {}
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
+def _measure(word: str) -> tuple[int, int]:
+    """Letters and syllables of a word, kept for the next time."""
+    if len(_KNOWN) > 500_000:
+        _KNOWN.clear()
+    _KNOWN[word] = len(word) - word.count("'") - word.count("’"), syllables(word)
+    return _KNOWN[word]
 
 
 def syllables(word: str) -> int:
     """Vowel groups, less silent endings, plus endings and joins that part a group; 1 at least."""
-    known = _SYLLABLES.get(word)
-    if known is not None:
-        return known
     w = word.replace("’", "'").removesuffix("'s")
     n = len(_VOWELS.findall(w))
     if w.endswith("e") and not w.endswith(("le", "ee", "ye", "oe")) or w.endswith("le") and len(w) > 2 and w[-3] in "aeiouy":
@@ -60,10 +66,7 @@ def syllables(word: str) -> int:
         n += w.count(part)
     for part in ("tion", "sion", "cial", "tial", "cian", "cious", "tious", "gious", "qua", "gua", "sial"):
         n -= w.count(part)
-    if len(_SYLLABLES) > 500_000:
-        _SYLLABLES.clear()
-    _SYLLABLES[word] = max(1, n)
-    return _SYLLABLES[word]
+    return max(1, n)
 
 
 def _wrapped(lines: list[str]) -> bool:
@@ -84,7 +87,9 @@ def _wrapped(lines: list[str]) -> bool:
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence, in lower case."""
-    text = _HIDDEN.sub("", _LINK.sub(" ", text))
+    text = _LINK.sub(" ", text) if "<" in text or "http" in text or "www." in text else text
+    text = _ADDRESS.sub(" ", text) if "@" in text else text
+    text = text if text.isascii() else _HIDDEN.sub("", text)
     blocks: list[list[tuple[str, bool]]] = [[]]
     for line in text.splitlines():
         bare = line.strip()
@@ -110,11 +115,11 @@ def sentences(text: str) -> list[list[str]]:
             parts.append(joined)
     found = []
     for part in parts:
-        start = 0
-        for end in [*(m.end() for m in _END.finditer(part)), len(part)]:
-            piece = part[start:end]
+        start, low = 0, part.lower()
+        for end in [*(m.end() for m in _END.finditer(low)), len(low)]:
+            piece = low[start:end]
             start = end
-            words = _TOKEN.findall(piece.lower())
+            words = _TOKEN.findall(piece)
             if not words:
                 continue
             if len(words) > RUN_ON and not _PAUSE.search(piece):
@@ -124,17 +129,27 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
-def grades(found: list[list[str]]) -> dict[str, float]:
+def counted(found: list[list[str]]) -> Counter:
+    """How often each word occurs."""
+    counts: Counter = Counter()
+    for words in found:
+        counts.update(words)
+    return counts
+
+
+def grades(found: list[list[str]], counts: Counter | None = None) -> dict[str, float]:
     """School grades by six formulas; none for a text without words. A text's sentence length is the one that half of its words reach."""
-    counts = Counter(w for s in found for w in s)
-    n = sum(counts.values())
+    counts = counted(found) if counts is None else counts
+    n = letters = total = hard = long_ = 0
+    for word, k in counts.items():
+        size = _KNOWN.get(word) or _measure(word)
+        n += k
+        letters += size[0] * k
+        total += size[1] * k
+        hard += k if size[1] >= 3 else 0
+        long_ += k if size[0] > 6 else 0
     if not n:
         return {}
-    letters = sum((len(w) - w.count("'") - w.count("’")) * k for w, k in counts.items())
-    by_word = {w: syllables(w) for w in counts}
-    total = sum(by_word[w] * k for w, k in counts.items())
-    hard = sum(k for w, k in counts.items() if by_word[w] >= 3)
-    long_ = sum(k for w, k in counts.items() if len(w) > 6)
     per, upto = 0, 0
     for length in sorted(map(len, found)):  # of the sentence that the middle word stands in: stray fragments don't count
         per, upto = length, upto + length
@@ -152,10 +167,9 @@ def grades(found: list[list[str]]) -> dict[str, float]:
     }
 
 
-def language(found: list[list[str]]) -> str | None:
+def language(counts: Counter) -> str | None:
     """The language whose function words are the most frequent; None if those of none are found."""
-    counts = Counter(w for s in found for w in s)
-    scores = {name: sum(k for w, k in counts.items() if w in words) for name, words in _WORDS.items()}
+    scores = {name: sum(counts[w] for w in words if w in counts) for name, words in _WORDS.items()}
     best = max(scores, key=lambda name: scores[name])
     return best if scores[best] else None
 
@@ -166,8 +180,9 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(len(names) + 4)]
         for text in batch.column(1).to_pylist():
             found = sentences(text or "")
-            by = grades(found)
-            for column, value in zip(out, [*(by.get(x) for x in names), median(by.values()) if by else None, language(found), len((text or "").split()), len(found)], strict=True):
+            counts = counted(found)
+            by = grades(found, counts)
+            for column, value in zip(out, [*(by.get(x) for x in names), median(by.values()) if by else None, language(counts), len((text or "").split()), len(found)], strict=True):
                 column.append(value)
         types = [pa.float64()] * (len(names) + 1) + [pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["key", *names, "grade", "language", "n_words", "n_sentences"])
