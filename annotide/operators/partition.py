@@ -20,7 +20,7 @@ KINDS = ("examples", "positive", "other")
 
 def group_records(members: DataFrame, labels: DataFrame) -> DataFrame:
     """group_id, examples, positive, other over (example_id, group_id) and (example_id, hard_label)."""
-    joined = members.join(labels.select("example_id", "hard_label").dropDuplicates(["example_id"]), "example_id")
+    joined = members.select("example_id", "group_id").join(labels.select("example_id", "hard_label").dropDuplicates(["example_id"]), "example_id")
     return joined.groupBy("group_id").agg(F.count("*").alias("examples"), F.count_if(F.col("hard_label") == 1).alias("positive"), F.count_if(F.col("hard_label") == 0).alias("other"))
 
 

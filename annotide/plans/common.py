@@ -69,13 +69,13 @@ def bulk_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of two experiments over the line items."""
     rows = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("group_id"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linenumber") % 4 / 3.0).alias("soft"),
-        F.inline(F.array(F.struct(F.lit("B1").alias("experiment"), (0.05 + 9 * F.col("l_discount")).alias("p")), F.struct(F.lit("B2").alias("experiment"), (0.1 + 10 * F.col("l_tax")).alias("p")))),
+        F.inline(F.array(F.struct(F.lit("B1").alias("experiment"), (0.0512345 + 8.9123457 * F.col("l_discount")).alias("p")), F.struct(F.lit("B2").alias("experiment"), (0.1034567 + 9.8765432 * F.col("l_tax")).alias("p")))),
     )
     return rows.select("experiment", "group_id", "y", "soft", F.round("p", 6).alias("p"), (F.round("p", 6) >= 0.5).cast("int").alias("pred"))
 
 
 BULK = """
-raw AS (SELECT 'B1' AS experiment, l_orderkey AS group_id, (l_returnflag = 'R')::INT AS y, (l_linenumber % 4)::DOUBLE / 3 AS soft, round(0.05::DOUBLE + 9 * l_discount, 6) AS p FROM lineitem
-  UNION ALL SELECT 'B2', l_orderkey, (l_returnflag = 'R')::INT, (l_linenumber % 4)::DOUBLE / 3, round(0.1::DOUBLE + 10 * l_tax, 6) FROM lineitem),
+raw AS (SELECT 'B1' AS experiment, l_orderkey AS group_id, (l_returnflag = 'R')::INT AS y, (l_linenumber % 4)::DOUBLE / 3 AS soft, round(0.0512345::DOUBLE + 8.9123457::DOUBLE * l_discount, 6) AS p FROM lineitem
+  UNION ALL SELECT 'B2', l_orderkey, (l_returnflag = 'R')::INT, (l_linenumber % 4)::DOUBLE / 3, round(0.1034567::DOUBLE + 9.8765432::DOUBLE * l_tax, 6) FROM lineitem),
 f AS (SELECT *, (p >= 0.5::DOUBLE)::INT AS pred, greatest(p, 1 - p) AS conf FROM raw WHERE y IS NOT NULL AND p IS NOT NULL)
 """
