@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm.arrays import code_points, rolling_hashes, slices
+from annotide.functions.arrays import code_points, rolling_hashes, slices
 
 TOKENIZERS = "/opt/tokenizers"
 #: A cut follows a place whose rolling hash of WINDOW characters ends in MASK zeros; chunks are LEAST to MOST characters.

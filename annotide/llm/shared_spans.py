@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm.arrays import code_points, rolling_hashes, sliding_min, slices
+from annotide.functions.arrays import code_points, rolling_hashes, sliding_min, slices
 from annotide.storage import Scratch
 
 WIDTH = 64
