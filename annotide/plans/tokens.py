@@ -51,7 +51,7 @@ def truncation_audit(spark: SparkSession, sf: str) -> DataFrame:
 def target_words_in_span(spark: SparkSession, sf: str) -> DataFrame:
     """How many words of a window's context share a character with its target."""
     spans = tk.target_span(table(spark, sf, "autalic"))
-    return spans.select("example_id", F.size(tk.overlapping(tk.word_spans(F.col("context")), F.col("start"), F.col("stop"))).alias("n_words"))
+    return spans.select("example_id", F.size(tk.words_within("context", "start", "stop")).alias("n_words"))
 
 
 QUERIES = {f.__name__: f for f in (token_truncation, token_sequences, token_length_summary, truncation_effect, truncation_audit, target_words_in_span)}
