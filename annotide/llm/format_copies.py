@@ -10,12 +10,12 @@ pass the filter and are shuffled; the result stays exact.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from annotide.storage import Scratch
 
 MOST_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 19, 4
-_DROP = regex.compile(r"[\W_]+")
-_DIVIDER = regex.compile("[;|\\n\\r\\v\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
-_FIELD = regex.compile(r"[^:]*[^\W_][^:]*:.*[^\W_]", regex.S)
+_DROP = re.compile(r"[\W_]+")
+_DIVIDER = re.compile("[;|\\n\\r\\v\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
+_FIELD = re.compile(r"[^:]*[^\W_][^:]*:.*[^\W_]", re.S)
 
 
 def canonical(text: str | None) -> str | None:

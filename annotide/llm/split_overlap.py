@@ -20,19 +20,19 @@ tasks, so that no task holds a whole one. The table of frequent words that order
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotide.storage import Scratch
 
-WORD = regex.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")
 TOP_WORDS = 50_000
 #: Entries of a frequent word's list, at most, in one task: of the side held in memory, and of the streamed side.
 HELD, STREAMED = 1 << 16, 1 << 18
