@@ -62,6 +62,8 @@ def syllables(word: str) -> int:
         n -= 1
     elif w.endswith("ed") and len(w) > 3 and w[-3] not in "tdaeiouy":
         n -= 1
+    if w.endswith("ea") and n > 1:
+        n += 1
     for part in ("ia", "io", "iu", "eo", "ua", "ism"):
         n += w.count(part)
     for part in ("tion", "sion", "cial", "tial", "cian", "cious", "tious", "gious", "qua", "gua", "sial"):
