@@ -29,7 +29,8 @@ def identifier(text: Column | str) -> Column:
 def collapse(text: Column | str) -> Column:
     """Each run of whitespace as one space, none at the ends; null as the empty text."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.trim(F.regexp_replace(text, BLANKS + "+", " "))
+    odd = F.rlike(text, F.lit(BLANKS.replace("\\x20", "\\x1f") + "|  "))  # most texts have single spaces only
+    return F.trim(F.when(odd, F.regexp_replace(text, BLANKS + "+", " ")).otherwise(text))
 
 
 def normal(text: Column | str) -> Column:

@@ -6,7 +6,8 @@ import hashlib
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +55,15 @@ def twister_sample(stats: DataFrame, replicates: int = REPLICATES, seed: int = S
     ids = [r["group_id"] for r in stats.select("group_id").distinct().orderBy("group_id").limit(MOST_DRAWN + 1).collect()]
     if len(ids) > MOST_DRAWN:
         raise ValueError("too many groups for one stream; use hash_sample")
-    rows = []
+    parts = []
     for k, indices in enumerate(drawn(len(ids), replicates, seed)):
-        counts: dict[int, int] = {}
-        for i in indices:
-            counts[i] = counts.get(i, 0) + 1
-        rows += [(k, ids[i], c) for i, c in counts.items()]
+        times = np.bincount(indices, minlength=len(ids))
+        at = np.flatnonzero(times)
+        parts.append((np.full(len(at), k), at, times[at]))
+    replicate, at, times = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
     kind = stats.schema["group_id"].dataType.simpleString()
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["replicate", "group_id", "times"]), f"replicate long, group_id {kind}, times long")
+    names = pa.array(ids, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind])
+    return spark.createDataFrame(pa.table({"replicate": replicate, "group_id": names.take(pa.array(at)), "times": times}))
 
 
 def hash_sample(stats: DataFrame, replicates: int, modulus: int = 1_000_003) -> DataFrame:

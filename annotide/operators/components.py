@@ -34,12 +34,11 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, name:
     current = clean.where("a <> b")
     before, k = None, 0
     while True:
-        current = scratch.write(_small_star(_large_star(current)), f"{name}-{k}")
-        seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        current, seen = scratch.write_counted(_small_star(_large_star(current)), f"{name}-{k}", "a", "b")
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
-        if (seen["n"], seen["h"]) == before:
+        if seen == before:
             break
-        before, k = (seen["n"], seen["h"]), k + 1
+        before, k = seen, k + 1
     nodes = clean.select(F.col("a").alias("id")).union(clean.select("b")).distinct()
     return nodes.join(current.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))

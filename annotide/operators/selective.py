@@ -96,15 +96,21 @@ def fit_temperature(facts: DataFrame, low: float = 0.05, high: float = 20.0, tol
     return held.mapInPandas(search, "experiment string, temperature double, nll double")
 
 
+def _highest(value: Column, thresholds: tuple[float, ...], low: int, high: int) -> Column:
+    """The index of the highest threshold that a value reaches, -1 for none, by halving the sorted thresholds."""
+    if high - low == 1:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value >= thresholds[middle], _highest(value, thresholds, middle, high)).otherwise(_highest(value, thresholds, low, middle))
+
+
 def risk_coverage(facts: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, epsilon: float = 0.0) -> DataFrame:
     """Coverage, risk and class coverage at each threshold of confidence (a prediction is accepted if conf + epsilon >= t).
 
     Rows are counted once, by the highest threshold they reach; the counts are then summed from the top.
     """
     conf = F.greatest(F.col("p"), 1 - F.col("p"))
-    step = F.lit(-1)
-    for i, t in enumerate(thresholds):
-        step = F.when(conf + epsilon >= t, i).otherwise(step)
+    step = _highest(conf + epsilon, thresholds, -1, len(thresholds))
     cells = facts.where("y is not null and p is not null").groupBy("experiment", step.alias("step")).agg(
         F.count("*").alias("n"), F.count_if(F.col("y") != F.col("pred")).alias("errors"), F.sum("y").alias("pos"),
         F.count_if((F.col("y") == 1) & (F.col("pred") == 1)).alias("tp"), F.count_if((F.col("y") == 0) & (F.col("pred") == 1)).alias("fp"),

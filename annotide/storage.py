@@ -11,7 +11,8 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -52,6 +53,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, label: str, *columns: str) -> tuple[DataFrame, tuple[int, int]]:
+        """Writes the rows and returns their scan, their number and an order-free hash of ``columns``, all in one job."""
+        seen = Observation()
+        total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+        table = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("h")), label)
+        return table, (seen.get["n"], int(seen.get["h"] or 0))
+
     def drop(self, label: str) -> None:
         """Deletes a table that no returned plan reads any more."""
         _delete(self.spark, f"{self.root}/{label}")
