@@ -27,13 +27,13 @@ def linked_groups(
     scratch = Scratch(links.sparkSession, "link-groups")
     pairs = links.select(identifier(ends[0]).alias("one"), identifier(ends[1]).alias("two")).dropna().where("one <> two")
     named = membership.select(identifier(member).alias("one"), F.explode(F.split(ids, "\\|")).alias("group")).select("one", identifier("group").alias("group")).dropna()
-    records, seed = numbered(pairs.select(F.col("one").alias("id")).union(pairs.select("two")).union(named.select("one")), scratch)
+    # Records and ids are vertices of one graph, told apart by a letter; their numbers are free of collisions.
+    record, hub = (lambda c: F.concat(F.lit("r"), c)), (lambda c: F.concat(F.lit("g"), c))
+    vertices = pairs.select(F.explode(F.array(record("one"), record("two"))).alias("id")).union(named.select(F.explode(F.array(record("one"), hub("group")))))
+    vertices, seed = numbered(vertices, scratch)
     number = lambda c: F.xxhash64(F.lit(seed), c)
-    # An id's vertex is hashed apart from the records'; should it meet a record's number, that record's edges would mix.
-    hubs = named.select(number("one").alias("a"), F.xxhash64(F.lit(seed), F.lit("group"), "group").alias("b"), "group")
-    if not hubs.select("b").distinct().join(records, F.col("b") == F.col("v"), "left_semi").isEmpty():
-        raise ValueError("a group's number meets a record's")
-    labels = minimum_labels(pairs.select(number("one").alias("a"), number("two").alias("b")).union(hubs.select("a", "b")), scratch)
-    members = scratch.write(labels.join(records, "v").select("label", "id"), "members")
+    edges = pairs.select(number(record("one")).alias("a"), number(record("two")).alias("b")).union(named.select(number(record("one")), number(hub("group"))))
+    records = vertices.where(F.startswith("id", F.lit("r"))).select("v", F.substring("id", 2, 1 << 30).alias("id"))
+    members = scratch.write(minimum_labels(edges, scratch).join(records, "v").select("label", "id"), "members")
     groups = members.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return members.join(groups, "label").select("group_id", "id")
