@@ -110,6 +110,8 @@ def fit(rows: DataFrame, scratch: Scratch, rounds: int = 60, tolerance: float =
         classes = [_digamma(m) - _digamma(sum(mass)) for m in mass]
         if seen["moved"] < tolerance:
             break
+        if before is not None:
+            scratch.drop(f"round-{i - 1}")
         before = params
     if params is None:
         raise ValueError("rounds must be at least 1")

@@ -212,7 +212,7 @@ def demanding_from(samples: DataFrame, text: str = "text", grade: str = "grade",
     It is the threshold with the fewest errors among at most ``SAMPLES`` samples; of a gap between the two kinds, its
     middle. Infinite without demanding samples, minus infinite without others.
     """
-    rows = samples.select(F.col(grade).alias("label"), F.col(text).alias("text")).where("label is not null").limit(SAMPLES)
+    rows = samples.select(F.col(grade).alias("label"), F.col(text).alias("text")).where("label is not null").orderBy(F.xxhash64("text"), "text").limit(SAMPLES)
     points = sorted((r["grade"], r["label"] >= least) for r in reading_levels(rows, "label").select("grade", "label").dropna().collect())
     hard = sum(h for _, h in points)
     if not hard or hard == len(points):
