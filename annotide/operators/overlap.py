@@ -217,3 +217,10 @@ def repeated_triplets(rows: DataFrame, normalized: bool = True) -> DataFrame:
     names = [f"norm_{f}" if normalized else f for f in FIELDS]
     parts = [F.coalesce(F.col(n), F.lit("")) for n in names]
     return rows.groupBy(*(p.alias(f"k{i}") for i, p in enumerate(parts))).agg(F.count("*").alias("n_rows")).where("n_rows > 1").select(F.sha2(F.concat_ws(chr(31), "k0", "k1", "k2"), 256).alias("triplet_sha256"), "n_rows")
+
+
+def short_merges(index: DataFrame, inner: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Shared values below ``least`` words that join two or more groups of ``inner``: by number of words, how many, and the places they hold."""
+    short = index.where((F.col("setting") == SETTINGS[1]) & (F.col("words") < least)).join(inner, "example_id")
+    per = short.groupBy("value", "words").agg(F.min("group_id").alias("a"), F.max("group_id").alias("b"), F.count("*").alias("n")).where("a <> b")
+    return per.groupBy("words").agg(F.count("*").alias("n_strings"), F.sum("n").alias("n_places"))
