@@ -2,7 +2,8 @@
 
 Sentences are found whatever the layout: quote marks, bullets, numbering and speakers at the start of a line are taken
 off, headings and links dropped. A line break ends a sentence unless the line ends in a comma or the like, or the block
-is wrapped, which shows in that no line could have taken the next line's first word. Syllables are counted by
+is wrapped: no line could have taken the next line's first word, or lines have one number of words, or sentences end
+within lines only. Syllables are counted by
 hyphenation-style rules, once for each distinct word of a process.
 """
 
