@@ -1,8 +1,10 @@
 """Splits that keep related records together: an incremental, persisted component table.
 
-The table has one row for each group id ever seen: id, component, split. A batch of records adds ids and merges
-components by minimum labels with pointer jumping. A component that has a split keeps it, a new one fills the deficits
-of the wanted proportions, and one in which different splits meet is quarantined until it is settled.
+The table has one row for each group id ever seen: id, component, split, and the component's number of records so far.
+Records without ids stand in it with a null id. A batch of records not seen before adds ids and merges components by
+minimum labels with pointer jumping. A component that has a split keeps it, a new one fills the deficits of the wanted
+proportions over all records so far, and one in which different splits meet is quarantined until it is settled: it has
+records, but no split.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ def merge_components(related: DataFrame, previous: DataFrame | None = None, scra
     scratch = scratch or Scratch(related.sparkSession, "group-splits")
     names = related.select("id")
     if previous is not None:
+        previous = previous.where("id is not null")
         names = names.union(previous.select("id")).union(previous.select("component"))
     ids, seed = numbered(names, scratch)
     number = lambda c: F.xxhash64(F.lit(seed), c)
@@ -51,16 +54,38 @@ def merge_components(related: DataFrame, previous: DataFrame | None = None, scra
 
 def present_components(records: DataFrame, related: DataFrame, previous: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Each record of ``records`` (row, split) with its component; a record without ids is one of its own, named by its row."""
-    components = merge_components(related, previous, scratch)
+    return _placed(records, related, merge_components(related, previous, scratch))
+
+
+def _placed(records: DataFrame, related: DataFrame, components: DataFrame) -> DataFrame:
     own = related.join(components, "id").groupBy("row").agg(F.min("component").alias("component"))
     alone = F.concat(F.lit("row:"), F.col("row").cast("string"))
     return records.join(own, "row", "left").select("row", "split", F.coalesce("component", alone).alias("component"))
 
 
-def component_status(members: DataFrame) -> DataFrame:
-    """component, n_records, status (kept, new or quarantined) and split (of kept ones) over row, split, component."""
+def history(components: DataFrame, previous: DataFrame) -> DataFrame:
+    """component (by its present name), n_records and split of every component of the persisted table ``previous``.
+
+    ``components`` is the table after the batch, of ``merge_components``.
+    """
+    past = previous.groupBy("component").agg(F.min("id").alias("id"), F.max("n_records").alias("n_records"), F.min("split").alias("split")).where("n_records > 0")
+    present = components.select("id", F.col("component").alias("now"))
+    return past.join(present, "id", "left").select(F.coalesce("now", "component").alias("component"), "n_records", "split")
+
+
+def component_status(members: DataFrame, past: DataFrame | None = None) -> DataFrame:
+    """component, n_records, status (kept, new or quarantined) and split (of kept ones) over row, split, component.
+
+    ``past`` (of ``history``) has the records and splits of earlier batches; components that only it knows are kept too.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("n_records"), F.min("split").alias("low"), F.max("split").alias("high"))
-    status = F.when(F.col("low").isNull(), "new").when(F.col("low") == F.col("high"), "kept").otherwise("quarantined")
+    held = F.lit(False)
+    if past is not None:
+        earlier = past.select("component", "n_records", F.col("split").alias("low"), F.col("split").alias("high"), F.col("split").isNull().alias("held"))
+        both = sizes.withColumn("held", F.lit(False)).unionByName(earlier)
+        sizes = both.groupBy("component").agg(F.sum("n_records").alias("n_records"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("held").alias("held"))
+        held = F.col("held")
+    status = F.when(held, "quarantined").when(F.col("low").isNull(), "new").when(F.col("low") == F.col("high"), "kept").otherwise("quarantined")
     return sizes.select("component", "n_records", status.alias("status"), F.when(status == "kept", F.col("low")).alias("split"))
 
 
@@ -101,18 +126,42 @@ def split_records(manifest: DataFrame, key: str = "source_row", partition: str =
     return manifest.select(F.col(key).cast("long").alias("row"), F.nullif(strip(partition), F.lit("")).alias("split")).where("row is not null").distinct()
 
 
-def conflicting_records(members: DataFrame) -> DataFrame:
+def conflicting_records(members: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """The rows of quarantined components."""
-    spread = component_status(members).where("status = 'quarantined'").select("component")
+    spread = component_status(members, past).where("status = 'quarantined'").select("component")
     return members.join(spread, "component", "left_semi").select("row").distinct()
 
 
-def assigned_records(members: DataFrame, shares: dict[str, float] | None = None, release: bool = True) -> DataFrame:
+def assigned_records(members: DataFrame, shares: dict[str, float] | None = None, release: bool = True, past: DataFrame | None = None) -> DataFrame:
     """row, component, status and final split of every record; with ``release`` quarantined components are placed anew."""
-    final = settle(component_status(members), shares, release)
+    return _assigned(members, settle(component_status(members, past), shares, release))
+
+
+def _assigned(members: DataFrame, final: DataFrame) -> DataFrame:
     return members.select("row", "component").distinct().join(final.select("component", "status", "split"), "component")
 
 
 def updated_table(components: DataFrame, final: DataFrame) -> DataFrame:
-    """The table to persist for the next batch: id, component, split."""
-    return components.join(final.select("component", "split"), "component", "left").select("id", "component", "split")
+    """The table to persist for the next batch: id, component, split, and n_records if ``final`` has it."""
+    sized = [c for c in ("n_records",) if c in final.columns]
+    table = components.join(final.select("component", "split", *sized), "component", "left").select("id", "component", "split", *sized)
+    if not sized:
+        return table
+    alone = final.join(components, "component", "left_anti")
+    return table.union(alone.select(F.lit(None).cast("string"), "component", "split", *sized))
+
+
+def batch_splits(
+    records: DataFrame, related: DataFrame, previous: DataFrame | None = None, shares: dict[str, float] | None = None, release: bool = False, scratch: Scratch | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A batch end to end: row, component, status and split of its records, and the table to persist for the next batch.
+
+    ``records`` has row and split (null where none is given), ``related`` row and id, ``previous`` the table that the
+    batch before returned. A component whose persisted splits differ is quarantined with all its records, old and new.
+    """
+    scratch = scratch or Scratch(records.sparkSession, "group-splits")
+    components = merge_components(related, previous, scratch)
+    members = scratch.write(_placed(records, related, components), "members")
+    past = None if previous is None else history(components, previous)
+    final = scratch.write(settle(component_status(members, past), shares, release), "final")
+    return _assigned(members, final), scratch.write(updated_table(components, final), "table")

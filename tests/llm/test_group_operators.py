@@ -105,6 +105,39 @@ def test_new_components_fill_the_deficits(spark, monkeypatch):
         assert sums[s] / total == pytest.approx(share, abs=0.02)
 
 
+def test_splits_persist_over_batches(spark):
+    def batch(records, ids, previous=None, **settings):
+        related = spark.createDataFrame(ids, "row long, id string")
+        out, table = gs.batch_splits(spark.createDataFrame(records, "row long, split string"), related, previous, **settings)
+        return {r["row"]: (r["status"], r["split"]) for r in out.collect()}, table
+
+    first, table = batch([(1, "train"), (2, "test"), (3, "train"), (4, None), (5, "dev_tune"), (6, "train")], [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (6, "c"), (9, "z")])
+    settled = first[4][1]
+    assert first[1] == ("kept", "train") and first[4][0] == "new" and settled in gs.SHARES
+    kept = {(r["id"], r["split"], r["n_records"]) for r in table.collect()}
+    assert kept == {("a", "train", 1), ("b", "test", 1), ("c", "train", 2), ("d", settled, 1), ("z", None, None), (None, "dev_tune", 1)}
+    # 11 joins a, 12 joins d, 13 brings a and b together, 14 gives c another split, 15 is new beside z
+    second, table = batch([(11, None), (12, None), (14, "test"), (15, None)], [(11, "a"), (11, "0"), (12, "d"), (14, "c"), (15, "z")], table)
+    assert second[11] == ("kept", "train") and second[12] == ("kept", settled) and second[14] == ("quarantined", None) and second[15][0] == "new"
+    third, table = batch([(13, None), (16, None)], [(13, "a"), (13, "b"), (16, "c")], table)
+    assert third == {13: ("quarantined", None), 16: ("quarantined", None)}
+    sizes = {r["id"]: (r["component"], r["split"], r["n_records"]) for r in table.collect()}
+    assert sizes["a"] == sizes["b"] == sizes["0"] == ("0", None, 4) and sizes["c"] == ("c", None, 4)
+    fourth, table = batch([(17, None)], [(17, "b")], table, release=True)
+    assert fourth[17][0] == "quarantined" and fourth[17][1] in gs.SHARES
+    assert table.where("split is null").count() == 0
+    fifth, _ = batch([(18, None)], [(18, "a")], table)
+    assert fifth[18] == ("kept", fourth[17][1])
+
+
+def test_deficits_count_earlier_batches(spark):
+    rel = lambda rows: spark.createDataFrame([(i, f"i{i}") for i in rows], "row long, id string")
+    rec = lambda rows, split: spark.createDataFrame([(i, split) for i in rows], "row long, split string")
+    _, table = gs.batch_splits(rec(range(70), "train"), rel(range(70)))
+    out, _ = gs.batch_splits(rec(range(70, 100), None), rel(range(70, 100)), table)
+    assert out.where("split = 'train'").count() == 0 and out.where("split = 'test'").count() == 15
+
+
 def test_splits_of_nothing(spark):
     m = manifest(spark, [])
     related = gs.relations([(m, "source_row", "group_id")])
