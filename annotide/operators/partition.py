@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ SEED, STRIDE, CANDIDATES = 42, 1_000_003, 256
 #: Groups that the search places one by one, at most: the largest. The rest follows by hash into what is left to fill.
 LARGEST = 50_000
 KINDS = ("examples", "positive", "other")
+# How far a partition's share of the examples and its rate of positives may be off.
+EXAMPLE_TOLERANCE, RATE_TOLERANCE = 0.02, 0.03
+BUCKETS = 1 << 20
 
 
 def group_records(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -60,8 +64,8 @@ def balance_checks(diagnosed: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return near.union(rows.select(F.concat("partition", F.lit("_has_positive")), "has"))
 
 
-def _candidate(groups: list[tuple[str, int, int, int]], totals: tuple[int, int, int], seed: int, shares: dict[str, float]) -> tuple[float, list[str]]:
-    """Greedy placement of groups, largest first and ties by a random key: (objective, partitions by the order of ``groups``)."""
+def _candidate(groups: list[tuple[str, int, int, int]], totals: tuple[int, int, int], seed: int, shares: dict[str, float]) -> tuple[list[list[int]], list[str]]:
+    """Greedy placement of groups, largest first and ties by a random key: (counts by partition, partitions by the order of ``groups``)."""
     source = random.Random(seed)
     keys = {g[0]: source.random() for g in sorted(groups)}
     names = list(shares)
@@ -86,44 +90,101 @@ def _candidate(groups: list[tuple[str, int, int, int]], totals: tuple[int, int,
             d = have[p][k] - wanted[p][k]
             cost[p][k] = d * d / scale[p][k]
         place[group[0]] = names[p]
-    return sum(map(sum, cost)), [place[g[0]] for g in groups]
+    return have, [place[g[0]] for g in groups]
+
+
+def evaluation(counts: list[list[int]], totals: tuple[int, int, int], shares: dict[str, float]) -> tuple[int, float, float]:
+    """(infeasible, violation, objective) of a split by its counts of ``KINDS`` in each partition: the less the better.
+
+    The violation sums what the shares of the examples and the rates of positives exceed their tolerances by, and 1 for
+    each partition that lacks a class.
+    """
+    feasible, violation, costs = True, 0.0, []
+    for (examples, positive, other), share in zip(counts, shares.values(), strict=True):
+        fraction = examples / totals[0] if totals[0] else 0.0
+        rate = positive / examples if examples else 0.0
+        over = max(0.0, abs(fraction - share) - EXAMPLE_TOLERANCE)
+        rate_over = max(0.0, abs(rate - (totals[1] / totals[0] if totals[0] else 0.0)) - RATE_TOLERANCE)
+        both = positive > 0 and other > 0
+        violation += over + rate_over + (0.0 if both else 1.0)
+        feasible &= over == 0 and rate_over == 0 and both
+        costs += [(n - t * share) ** 2 / max(t * share, 1.0) for n, t in zip((examples, positive, other), totals, strict=True)]
+    return int(not feasible), violation, sum(costs)
+
+
+def _upto(filled: list[int], examples: int, shares: dict[str, float]) -> list[float]:
+    """Where each partition's range of the hash of the smaller groups ends, by the shares still open."""
+    open_ = [max(0.0, examples * s - n) for s, n in zip(shares.values(), filled, strict=True)]
+    whole = sum(open_) or 1.0
+    ends, upto = [], 1.0
+    for n in reversed(open_):
+        ends.append(upto)
+        upto -= n / whole
+    return ends[::-1]
+
+
+def _with_rest(counts: list[list[int]], rest: np.ndarray | None, examples: int, shares: dict[str, float]) -> list[list[int]]:
+    """``counts`` with those of the groups placed by hash; ``rest`` has the running sums of ``KINDS`` over the buckets."""
+    if rest is None:
+        return counts
+    u = (np.arange(BUCKETS) + 0.5) / BUCKETS
+    out, before = [], np.zeros(3, np.int64)
+    ends = _upto([c[0] for c in counts], examples, shares)
+    for p, row in enumerate(counts):
+        upto = rest[BUCKETS if p == len(counts) - 1 else int(np.searchsorted(u, ends[p]))]
+        upto = np.maximum(upto, before)
+        out.append([n + int(x) for n, x in zip(row, upto - before, strict=True)])
+        before = upto
+    return out
 
 
 def allocate(groups: DataFrame, shares: dict[str, float] | None = None, candidates: int = CANDIDATES, seed: int = SEED, largest: int = LARGEST) -> DataFrame:
     """group_id, examples, positive, other, partition: the best of many greedy placements.
 
-    Candidates are searched in parallel; each places the ``largest`` groups one by one. The best by (objective, seed)
-    wins. Groups beyond those, the smallest, go by a hash of their id into the shares that the winner left open.
+    Candidates are searched in parallel; each places the ``largest`` groups one by one. Groups beyond those, the
+    smallest, go by a hash of their id into the shares that the candidate left open. The best whole split wins by
+    (infeasible, violation, objective, signature), where the signature is the list of the groups' partitions.
     """
     shares = shares or SHARES
     spark = groups.sparkSession
-    totals = groups.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in KINDS)).first()
+    totals = groups.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in KINDS), F.count("*").alias("groups")).first()
     total = tuple(int(totals[k]) for k in KINDS)
     head = [tuple(r) for r in groups.select("group_id", *KINDS).orderBy(F.desc("examples"), "group_id").limit(largest).collect()]  # bounded by ``largest``
-    shared = spark.sparkContext.broadcast(head)
+    bucket = F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS))
+    rest = None
+    if totals["groups"] > len(head):
+        small = groups.join(spark.createDataFrame([(g[0],) for g in head], "group_id string"), "group_id", "left_anti")
+        sums = small.groupBy(bucket.alias("bucket")).agg(*(F.sum(k).alias(k) for k in KINDS)).toPandas()  # bounded by BUCKETS
+        rest = np.zeros((BUCKETS + 1, 3), np.int64)
+        rest[sums["bucket"].to_numpy(np.int64) + 1] = sums[list(KINDS)].to_numpy(np.int64)
+        rest = rest.cumsum(axis=0)
+    shared = spark.sparkContext.broadcast((head, rest))
+    order = sorted(range(len(head)), key=lambda i: head[i][0])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups, rest = shared.value
+        best = None
         for frame in frames:
             for i in frame["id"]:
-                value, _ = _candidate(shared.value, total, seed + int(i) * STRIDE, shares)
-                yield pd.DataFrame({"candidate": [i], "objective": [value]})
+                counts, places = _candidate(groups, total, seed + int(i) * STRIDE, shares)
+                worth = evaluation(_with_rest(counts, rest, total[0], shares), total, shares)
+                if best is None or worth <= best[0]:
+                    rank = (worth, "|".join(f"{groups[j][0]}:{places[j]}" for j in order), int(i))
+                    best = rank if best is None else min(best, rank)
+        if best:  # one row a task
+            (infeasible, violation, value), signature, i = best
+            yield pd.DataFrame({"candidate": [i], "infeasible": [infeasible], "violation": [violation], "objective": [value], "signature": [signature]})
 
     if not head:
         return groups.withColumn("partition", F.lit(None).cast("string"))
-    tried = spark.range(candidates).repartition(min(candidates, spark.sparkContext.defaultParallelism)).mapInPandas(search, "candidate long, objective double")
-    best = tried.orderBy("objective", "candidate").first()["candidate"]
-    _, places = _candidate(head, total, seed + int(best) * STRIDE, shares)
+    tried = spark.range(candidates).repartition(min(candidates, spark.sparkContext.defaultParallelism)).mapInPandas(search, "candidate long, infeasible int, violation double, objective double, signature string")
+    best = tried.agg(F.min_by("candidate", F.struct("infeasible", "violation", "objective", "signature", "candidate"))).first()[0]
+    counts, places = _candidate(head, total, seed + int(best) * STRIDE, shares)
     placed = spark.createDataFrame([(g[0], p) for g, p in zip(head, places, strict=True)], "group_id string, placed string")
-    filled = dict.fromkeys(shares, 0)
-    for g, p in zip(head, places, strict=True):
-        filled[p] += g[1]
-    open_ = {p: max(0.0, total[0] * s - filled[p]) for p, s in shares.items()}
-    whole = sum(open_.values()) or 1.0
-    u = (F.pmod(F.xxhash64("group_id"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    by_hash, upto = F.lit(list(shares)[-1]), 1.0
-    for p in reversed(list(shares)):
+    u = (bucket + 0.5) / BUCKETS
+    by_hash = F.lit(list(shares)[-1])
+    for p, upto in reversed(list(zip(shares, _upto([c[0] for c in counts], total[0], shares), strict=True))):
         by_hash = F.when(u < upto, F.lit(p)).otherwise(by_hash)
-        upto -= open_[p] / whole
     return groups.join(placed, "group_id", "left").select("group_id", *KINDS, F.coalesce("placed", by_hash).alias("partition"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,38 @@ def test_allocation_is_whole_balanced_and_stable(spark):
 
 def test_allocation_of_nothing(spark):
     assert pt.allocate(spark.createDataFrame([], "group_id string, examples long, positive long, other long")).count() == 0
+
+
+def test_a_better_objective_does_not_beat_less_violation(spark):
+    r = random.Random(0)
+    groups = [(f"g{i}", n, p, n - p) for i in range(40) for n in [r.choice((1, 1, 2, 6, 12))] for p in [n if r.random() < 0.12 else 0]]
+    totals = tuple(sum(g[k] for g in groups) for k in (1, 2, 3))
+    ranks = []
+    for i in range(16):
+        counts, places = pt._candidate(groups, totals, pt.SEED + i * pt.STRIDE, pt.SHARES)
+        infeasible, violation, objective = 0, 0.0, 0.0
+        for (n, pos, other), share in zip(counts, pt.SHARES.values(), strict=True):
+            over, rate = max(0, abs(n / totals[0] - share) - 0.02), max(0, abs(pos / n - totals[1] / totals[0]) - 0.03)
+            violation += over + rate + (pos == 0 or other == 0)
+            infeasible |= over > 0 or rate > 0 or pos == 0 or other == 0
+            objective += sum((x - t * share) ** 2 / max(t * share, 1) for x, t in zip((n, pos, other), totals, strict=True))
+        ranks.append((infeasible, round(violation, 9), round(objective, 9), "|".join(f"{g[0]}:{p}" for g, p in sorted(zip(groups, places, strict=True))), dict(zip((g[0] for g in groups), places, strict=True))))
+    want, by_objective = min(ranks, key=lambda x: x[:4])[4], min(ranks, key=lambda x: x[2])[4]
+    got = {x["group_id"]: x["partition"] for x in pt.allocate(spark.createDataFrame(groups, "group_id string, examples long, positive long, other long"), candidates=16).collect()}
+    assert got == want != by_objective
+
+
+def test_candidates_are_judged_with_the_groups_placed_by_hash(spark):
+    groups = [(f"g{i}", 1 + i % 3, i % 2, 1 + i % 3 - i % 2) for i in range(300)]
+    df = spark.createDataFrame(groups, "group_id string, examples long, positive long, other long")
+    totals = tuple(sum(g[k] for g in groups) for k in (1, 2, 3))
+    hashes = {r["group_id"]: r["b"] for r in df.select("group_id", F.pmod(F.xxhash64("group_id"), F.lit(pt.BUCKETS)).alias("b")).collect()}
+    out = {x["group_id"]: x["partition"] for x in pt.allocate(df, candidates=1, largest=40).collect()}
+    head = sorted(groups, key=lambda g: (-g[1], g[0]))[:40]
+    counts, _ = pt._candidate(head, totals, pt.SEED, pt.SHARES)
+    rest = np.zeros((pt.BUCKETS + 1, 3), np.int64)
+    for g in groups:
+        if g not in head:
+            rest[hashes[g[0]] + 1] += g[1:]
+    found = pt._with_rest(counts, rest.cumsum(axis=0), totals[0], pt.SHARES)
+    assert found == [[sum(g[k] for g in groups if out[g[0]] == p) for k in (1, 2, 3)] for p in pt.SHARES]
