@@ -7,11 +7,12 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annotide.operators.metrics import class_metrics, confusion_columns, nll
+from annotide.storage import Scratch
 
 REPLICATES, SEED = 5_000, 20_261_006
 CELLS = ("tn", "fp", "fn", "tp")
@@ -45,25 +46,126 @@ def stream_hash(n_groups: int, replicates: int = REPLICATES, seed: int = SEED) -
     return digest.hexdigest()
 
 
-#: Groups up to which one stream of a Mersenne Twister is drawn on the driver; more are drawn by a hash in the tasks.
-MOST_DRAWN = 20_000
+#: Groups whose counts make one row of a replicate, blocks of replicates that tasks draw, and words generated at a time.
+CHUNK, BLOCKS, WORDS = 2_048, 128, 1 << 20
+
+
+def _words(state: tuple, n_groups: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(state before, indices) of so many words of the stream at a time: ``random.randrange``'s, which rejects words too large."""
+    if n_groups >= 1 << 32:
+        raise ValueError("an index takes more than one word of the stream")
+    source = np.random.MT19937()
+    shift = np.uint64(32 - n_groups.bit_length())
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[0], np.uint32), "pos": state[1]}}
+    while True:
+        at = source.state["state"]
+        words = source.random_raw(WORDS) >> shift
+        yield (at["key"].tolist(), int(at["pos"])), words[words < n_groups].astype(np.int64)
+
+
+def _starts(n_groups: int, replicates: int, seed: int) -> list[tuple[int, int, list[int], int, int]]:
+    """first, after, key, pos, skip of every block of replicates: where in the stream it begins.
+
+    The stream cannot be entered elsewhere, so it is generated once here, in constant memory; tasks generate their
+    blocks again and count.
+    """
+    key = random.Random(seed).getstate()[1]
+    size = -(-replicates // BLOCKS)
+    bounds = list(range(0, replicates, size))
+    out, seen = [], 0
+    for state, indices in _words((list(key[:-1]), key[-1]), n_groups):
+        while len(out) < len(bounds) and bounds[len(out)] * n_groups < seen + len(indices):
+            first = bounds[len(out)]
+            out.append((first, min(first + size, replicates), *state, first * n_groups - seen))
+        if len(out) == len(bounds):
+            return out
+        seen += len(indices)
+    return out
+
+
+def numbered_groups(stats: DataFrame) -> tuple[DataFrame, int]:
+    """group_id and its place ``at`` in their order, with their number; nothing but a count a task reaches the driver."""
+    scratch = Scratch(stats.sparkSession, "bootstrap-groups")
+    ids = scratch.write(stats.select("group_id").distinct().orderBy("group_id").select("group_id", F.monotonically_increasing_id().alias("m")), "ids")
+    part = F.shiftright("m", 33)
+    counts = sorted((r["part"], r["n"]) for r in ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, n = [], 0
+    for k, c in counts:
+        before.append((k, n))
+        n += c
+    offsets = stats.sparkSession.createDataFrame(before, "part long, before long")
+    return ids.withColumn("part", part).join(F.broadcast(offsets), "part").select("group_id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), n
+
+
+def twister_counts(spark: SparkSession, n_groups: int, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """replicate, chunk, times (little-endian counts of ``CHUNK`` neighbouring groups): all draws of one stream, made in tasks."""
+    kind = _count_type(n_groups)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first, after, key, pos, skip in frame[["first", "after", "key", "pos", "skip"]].itertuples(index=False):
+                stream = _words((key, int(pos)), n_groups)
+                indices = next(stream)[1][skip:]
+                for replicate in range(first, after):
+                    times, missing = np.zeros(n_groups, np.int64), n_groups
+                    while missing:
+                        if not len(indices):
+                            indices = next(stream)[1]
+                        now = indices[:missing]
+                        times += np.bincount(now, minlength=n_groups)
+                        indices, missing = indices[len(now) :], missing - len(now)
+                    times = times.astype(kind)
+                    parts = [times[i : i + CHUNK].tobytes() for i in range(0, n_groups, CHUNK)]
+                    yield pd.DataFrame({"replicate": replicate, "chunk": range(len(parts)), "times": parts})
+
+    schema = "first long, after long, key array<long>, pos long, skip long"
+    starts = _starts(n_groups, replicates, seed) if n_groups and replicates else []
+    blocks = spark.createDataFrame(starts, schema).repartition(max(1, min(len(starts), 4 * spark.sparkContext.defaultParallelism)))
+    return blocks.mapInPandas(draw, "replicate long, chunk long, times binary")
+
+
+def _count_type(n_groups: int) -> str:
+    return "<u2" if n_groups < 1 << 16 else "<u4"  # no count exceeds the number of groups
 
 
 def twister_sample(stats: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """replicate, group_id, times: groups sorted by id and drawn with replacement from one stream, the same for all experiments."""
-    spark = stats.sparkSession
-    ids = [r["group_id"] for r in stats.select("group_id").distinct().orderBy("group_id").limit(MOST_DRAWN + 1).collect()]
-    if len(ids) > MOST_DRAWN:
-        raise ValueError("too many groups for one stream; use hash_sample")
-    parts = []
-    for k, indices in enumerate(drawn(len(ids), replicates, seed)):
-        times = np.bincount(indices, minlength=len(ids))
-        at = np.flatnonzero(times)
-        parts.append((np.full(len(at), k), at, times[at]))
-    replicate, at, times = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
-    kind = stats.schema["group_id"].dataType.simpleString()
-    names = pa.array(ids, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind])
-    return spark.createDataFrame(pa.table({"replicate": replicate, "group_id": names.take(pa.array(at)), "times": times}))
+    groups, n = numbered_groups(stats)
+    kind = _count_type(n)
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for replicate, chunk, times in frame[["replicate", "chunk", "times"]].itertuples(index=False):
+                times = np.frombuffer(times, kind)
+                at = np.flatnonzero(times)
+                yield pd.DataFrame({"replicate": replicate, "at": at + chunk * CHUNK, "times": times[at].astype(np.int64)})
+
+    rows = twister_counts(stats.sparkSession, n, replicates, seed).mapInPandas(listed, "replicate long, at long, times long")
+    return rows.join(groups, "at").select("replicate", "group_id", "times")
+
+
+def twister_metrics(stats: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """``replicate_metrics`` of ``twister_sample``, without a row for each group drawn: sums by chunks of groups."""
+    groups, n = numbered_groups(stats)
+    kind, names = _count_type(n), [*CELLS, "n", "nll", "brier"]
+    facts = stats.join(groups, "group_id").select(F.expr(f"at div {CHUNK}").alias("chunk"), (F.col("at") % CHUNK).alias("place"), "experiment", *(F.col(c).cast("double").alias(c) for c in names))
+
+    def add(counts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for experiment, own in rows.groupby("experiment"):
+            for i in range(0, len(counts), 256):
+                some = counts.iloc[i : i + 256]
+                times = np.stack([np.frombuffer(t, kind) for t in some["times"]])[:, own["place"].to_numpy()]
+                sums = pd.DataFrame(times.astype(float) @ own[names].to_numpy(), columns=names)
+                parts.append(sums.assign(experiment=experiment, replicate=some["replicate"].to_numpy()))
+        columns = ["experiment", "replicate", *names]
+        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+
+    drawn_ = twister_counts(stats.sparkSession, n, replicates, seed)
+    schema = "experiment string, replicate long, " + ", ".join(f"{c} double" for c in names)
+    partial = drawn_.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInPandas(add, schema)
+    sums = partial.groupBy("experiment", "replicate").agg(*(F.sum(c).cast("long").alias(c) for c in (*CELLS, "n")), F.sum("nll").alias("nll"), F.sum("brier").alias("brier"))
+    return _metrics(sums.where("n > 0"))
 
 
 def hash_sample(stats: DataFrame, replicates: int, modulus: int = 1_000_003) -> DataFrame:
@@ -82,6 +184,10 @@ def replicate_metrics(stats: DataFrame, sample: DataFrame) -> DataFrame:
     """experiment, replicate and its metrics; a replicate without one of the classes has null class metrics."""
     joined = sample.join(stats, "group_id")
     sums = joined.groupBy("experiment", "replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in (*CELLS, "n", "nll", "brier")))
+    return _metrics(sums)
+
+
+def _metrics(sums: DataFrame) -> DataFrame:
     metrics = class_metrics(sums.select("experiment", "replicate", *CELLS)).select("experiment", "replicate", "macro_f1", "f1_1", "recall_1", "balanced_accuracy")
     both = (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)
     base = sums.select("experiment", "replicate", both.alias("both"), (F.col("nll") / F.col("n")).alias("nll"), (F.col("brier") / F.col("n")).alias("brier"))

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,28 @@ def test_bootstrap_is_paired_and_repeatable(spark):
     assert bs.replicate_metrics(stats, once).first()["macro_f1"] == pytest.approx(mt.class_metrics(mt.confusion(df)).first()["macro_f1"])
 
 
+@pytest.mark.parametrize("n", [1, 7, 64, 3000])
+def test_draws_in_tasks_are_those_of_one_stream(spark, monkeypatch, n):
+    monkeypatch.setattr(bs, "WORDS", 1000)
+    rows = [("E", g, 1, 0, 0, 1, 2, 0.5, 0.25) for g in range(n)]
+    stats = spark.createDataFrame(rows, "experiment string, group_id long, tn long, fp long, fn long, tp long, n long, nll double, brier double")
+    want = [(k, g, t) for k, indices in enumerate(bs.drawn(n, 150, 9)) for g, t in sorted(Counter(indices).items())]
+    assert sorted(map(tuple, bs.twister_sample(stats, 150, 9).collect())) == want
+
+
+def test_more_groups_than_one_driver_list(spark):
+    n = 20_500
+    stats = spark.range(n).selectExpr("explode(array('A', 'B')) as experiment", "id as group_id", "id % 2 as tn", "id % 3 as fp", "id % 5 as fn", "id % 7 as tp", "id % 2 + id % 3 + id % 5 + id % 7 as n", "id / 10.0D as nll", "id % 4 / 8.0D as brier")
+    stats = stats.where("experiment = 'A' or group_id % 10 > 0")
+    got = {(r["experiment"], r["replicate"]): r for r in bs.twister_metrics(stats, 3, 8).collect()}
+    slow = {(r["experiment"], r["replicate"]): r for r in bs.replicate_metrics(stats, bs.twister_sample(stats, 3, 8)).collect()}
+    assert got.keys() == slow.keys() and len(got) == 6
+    assert all(got[k][c] == pytest.approx(slow[k][c], rel=1e-12) for k in got for c in ("nll", "brier", "macro_f1", "f1_1", "recall_1", "balanced_accuracy"))
+    for k, indices in enumerate(bs.drawn(n, 3, 8)):
+        size = sum(i % 2 + i % 3 + i % 5 + i % 7 for i in indices)
+        assert got["A", k]["nll"] == pytest.approx(sum(i / 10 for i in indices) / size)
+
+
 def test_percentile_interval_is_linear(spark):
     df = spark.createDataFrame([("E", i, float(i)) for i in range(5)], "experiment string, replicate long, m double")
     r = bs.intervals(df, level=0.8).first()
