@@ -32,7 +32,7 @@ def bootstrap_replicates(spark: SparkSession, sf: str) -> DataFrame:
 def bootstrap_mt19937(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of both experiments and of their difference over one Mersenne Twister stream."""
     stats = _stats(spark, sf)
-    values = Scratch(spark, "bootstrap").write(bs.twister_metrics(stats, 1_000), "values")
+    values = Scratch(spark, "bootstrap").write(bs.twister_metrics(stats, bs.REPLICATES), "values")
     both = values.unionByName(bs.paired_differences(values, "S1", "S2"))
     return bs.intervals(both)
 

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from annotide.operators import bootstrap as bs
 from annotide.operators import metrics as mt
 from annotide.operators import selective as sl
 
+SF = Path("/root/testdata/sf0.001")
 FACTS = "experiment string, example_id long, group_id long, y int, pred int, p double, soft double"
 
 
@@ -145,6 +147,13 @@ def test_more_groups_than_one_driver_list(spark):
         assert got["A", k]["nll"] == pytest.approx(sum(i / 10 for i in indices) / size)
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_the_twister_query_draws_all_replicates(spark):
+    from annotide.plans.resampling import bootstrap_mt19937
+
+    assert {r["n_valid"] + r["n_unavailable"] for r in bootstrap_mt19937(spark, str(SF)).collect()} == {bs.REPLICATES} == {5_000}
+
+
 def test_percentile_interval_is_linear(spark):
     df = spark.createDataFrame([("E", i, float(i)) for i in range(5)], "experiment string, replicate long, m double")
     r = bs.intervals(df, level=0.8).first()
