@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotide.storage import Scratch
@@ -34,7 +34,8 @@ def minimum_labels(edges: DataFrame, scratch: Scratch, jumps: int = 2, name: str
         parents = scratch.write(_jump(least, jumps), f"{name}-parents-{k}")
         rounds.append(parents)
         a, b = (parents.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-        edges = edges.where("a <> b").join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        edges = edges.where("a <> b").join(a, "a").join(b, "b").where("la <> lb")
+        edges = edges.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         edges = scratch.write(edges, f"{name}-edges-{k + 1}")
         scratch.drop(f"{name}-least-{k}")
         scratch.drop(f"{name}-edges-{k}")
@@ -47,12 +48,41 @@ def minimum_labels(edges: DataFrame, scratch: Scratch, jumps: int = 2, name: str
     return labels
 
 
-def numbered(ids: DataFrame, scratch: Scratch, name: str = "ids") -> tuple[DataFrame, int]:
-    """id and its 64-bit number v, with the seed of a hash under which no two ids share a number."""
-    ids = ids.dropna().distinct()
-    for seed in range(8):
-        table = scratch.write(ids.select("id", F.xxhash64(F.lit(seed), "id").alias("v")), f"{name}-{seed}")
-        if table.groupBy("v").count().where("count > 1").isEmpty():
-            return table, seed
-        ids = table.select("id")
-    raise ValueError("no hash without collisions found")
+def _number(k: int, name: Column | str) -> Column:
+    """The 64-bit number that the k-th hash gives an id."""
+    return F.xxhash64(F.lit(k), name)
+
+
+class Numbers:
+    """Ids and their numbers: ``table`` has id and v, and no two ids share a v."""
+
+    def __init__(self, table: DataFrame, odd: DataFrame | None):
+        self.table = table
+        self._odd = odd
+
+    def apply(self, rows: DataFrame, name: str, number: str) -> DataFrame:
+        """``rows`` with the number of the id in column ``name`` instead of it. Without collisions no join is needed."""
+        rest = [c for c in rows.columns if c != name]
+        if self._odd is None:
+            return rows.select(*rest, _number(0, name).alias(number))
+        odd = self._odd.select(F.col("id").alias(name), F.col("v").alias("_odd"))
+        return rows.join(odd, name, "left").select(*rest, F.coalesce("_odd", _number(0, name)).alias(number))
+
+
+def numbered(ids: DataFrame, scratch: Scratch, name: str = "ids") -> Numbers:
+    """Numbers of all ids of the column ``id``.
+
+    An id's number is a hash of it. Where ids collide, all but the least of them get a number from the next hash, until
+    no two share one; about n * n / 2 ** 65 of n ids do, and a join over those alone looks their numbers up.
+    """
+    table = scratch.write(ids.select("id").dropna().distinct().select("id", _number(0, "id").alias("v")), f"{name}-0")
+    k = 0
+    while True:
+        twice = table.groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("v", "first")
+        if twice.isEmpty():
+            break
+        k += 1
+        other = F.when(F.col("first") < F.col("id"), _number(k, "id")).otherwise(F.col("v"))
+        table = scratch.write(table.join(twice, "v", "left").select("id", other.alias("v")), f"{name}-{k}")
+    odd = table.where(F.col("v") != _number(0, "id")) if k else None
+    return Numbers(table, odd)

@@ -26,14 +26,14 @@ def linked_groups(
     """
     scratch = Scratch(links.sparkSession, "link-groups")
     pairs = links.select(identifier(ends[0]).alias("one"), identifier(ends[1]).alias("two")).dropna().where("one <> two")
-    named = membership.select(identifier(member).alias("one"), F.explode(F.split(ids, "\\|")).alias("group")).select("one", identifier("group").alias("group")).dropna()
+    named = membership.select(identifier(member).alias("one"), F.explode(F.split(ids, "\\|")).alias("group"))
+    named = named.select("one", identifier("group").alias("group")).dropna()
     # Records and ids are vertices of one graph, told apart by a letter; their numbers are free of collisions.
     record, hub = (lambda c: F.concat(F.lit("r"), c)), (lambda c: F.concat(F.lit("g"), c))
-    vertices = pairs.select(F.explode(F.array(record("one"), record("two"))).alias("id")).union(named.select(F.explode(F.array(record("one"), hub("group")))))
-    vertices, seed = numbered(vertices, scratch)
-    number = lambda c: F.xxhash64(F.lit(seed), c)
-    edges = pairs.select(number(record("one")).alias("a"), number(record("two")).alias("b")).union(named.select(number(record("one")), number(hub("group"))))
-    records = vertices.where(F.startswith("id", F.lit("r"))).select("v", F.substring("id", 2, 1 << 30).alias("id"))
+    edges = pairs.select(record("one").alias("one"), record("two").alias("two")).union(named.select(record("one"), hub("group")))
+    numbers = numbered(edges.select(F.explode(F.array("one", "two")).alias("id")), scratch)
+    edges = numbers.apply(numbers.apply(edges, "one", "a"), "two", "b")
+    records = numbers.table.where(F.startswith("id", F.lit("r"))).select("v", F.substring("id", 2, 1 << 30).alias("id"))
     members = scratch.write(minimum_labels(edges, scratch).join(records, "v").select("label", "id"), "members")
     groups = members.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return members.join(groups, "label").select("group_id", "id")

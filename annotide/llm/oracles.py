@@ -28,6 +28,11 @@ GROUP BY a.source_row, b.source_row, a.n, b.n HAVING 5 * count(*) >= 4 * greates
     "p3_found": """WITH long AS (SELECT source_row, unnest([preceding, target, following]) AS t FROM autalic), g AS (SELECT DISTINCT source_row, substr(t, i::INT, 160) AS s FROM (SELECT source_row, t, unnest(range(1, length(t) - 158)) AS i FROM long WHERE length(t) >= 160))
 SELECT DISTINCT a.source_row AS source_row_1, b.source_row AS source_row_2 FROM g a JOIN g b ON a.s = b.s AND a.source_row < b.source_row""",
     "p4_found": f"WITH RECURSIVE {_SPREAD} SELECT DISTINCT m.source_row FROM split_manifest m JOIN comp ON id = 'r' || m.source_row JOIN spread USING (root)",
+    "p4_splits": f"""WITH RECURSIVE {_SPREAD}, named AS (SELECT root, min(substr(id, 2)) FILTER (WHERE id[1] = 'g') AS component FROM comp GROUP BY root),
+m AS (SELECT DISTINCT source_row, "partition" FROM split_manifest)
+SELECT source_row, coalesce(component, ' row:' || source_row) AS component, CASE WHEN s.root IS NULL THEN 'kept' ELSE 'quarantined' END AS status, CASE WHEN s.root IS NULL THEN "partition" END AS split
+FROM m LEFT JOIN comp ON id = 'r' || source_row LEFT JOIN named n USING (root) LEFT JOIN spread s USING (root)""",
+    "p4_balance": "SELECT * FROM (VALUES ('train', 0.7::DOUBLE, 0::BIGINT), ('dev_tune', 0.075, 0), ('dev_calibration', 0.075, 0), ('test', 0.15, 0)) AS t(split, wanted, n_spread)",
     "p5_agreement": """WITH v AS (SELECT DISTINCT vote_id, example_id, regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS l FROM annotation_votes), u AS (SELECT example_id, count(*) AS m, count(*) FILTER (WHERE l = '-1') AS a, count(*) FILTER (WHERE l = '0') AS b, count(*) FILTER (WHERE l = '1') AS c FROM v WHERE l IN ('-1', '0', '1') GROUP BY 1 HAVING count(*) > 1),
 s AS (SELECT count(*) AS units, sum(m)::BIGINT AS votes, sum((m * m - a * a - b * b - c * c) / (m - 1)) AS observed, sum(a) AS sa, sum(b) AS sb, sum(c) AS sc FROM u) SELECT units, votes, round(1 - observed / ((votes::DOUBLE * votes - sa * sa - sb * sb - sc * sc) / (votes - 1)), 6) AS alpha FROM s""",
     "p6_found": f"""WITH RECURSIVE pairs AS (SELECT {_ID.format(x="example_id_1")} AS a, {_ID.format(x="example_id_2")} AS b FROM overlap_links),

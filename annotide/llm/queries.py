@@ -48,24 +48,40 @@ def p3_share(spark: SparkSession, sf: str) -> DataFrame:
     return shared_share(shared_spans(records), records).withColumnRenamed("row", "source_row")
 
 
-def _p4_members(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.group_splits import present_components, relations, split_records
+def _p4_placed(spark: SparkSession, sf: str, release: bool = False) -> DataFrame:
+    """The manifest's records in two batches: those that an outer split was set for, then those that came without one."""
+    from annotide.functions.text import strip
+    from annotide.llm.group_splits import relations, split_in_batches, split_records
 
     manifest, targets = table(spark, sf, "split_manifest"), table(spark, sf, "targets")
     related = relations([(manifest, "source_row", "group_id"), (targets, "source_row", "rule_b_group_id")])
-    return present_components(split_records(manifest), related)
+    records = split_records(manifest)
+    outer = manifest.select(F.col("source_row").alias("row"), F.nullif(strip("outer_split"), F.lit("")).alias("outer"))
+    late = outer.groupBy("row").agg(F.max("outer").alias("outer")).where("outer is null").select("row")
+    batches = [(records.join(late, "row", how), related.join(late, "row", how)) for how in ("left_anti", "left_semi")]
+    return split_in_batches(batches, release=release)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from annotide.llm.group_splits import conflicting_records
 
-    return conflicting_records(_p4_members(spark, sf)).withColumnRenamed("row", "source_row")
+    return conflicting_records(_p4_placed(spark, sf)).withColumnRenamed("row", "source_row")
 
 
 def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.group_splits import assigned_records
+    """What is in quarantine has no split here; ``p4_settled`` places it too."""
+    return _p4_placed(spark, sf).withColumnRenamed("row", "source_row")
+
+
+def p4_settled(spark: SparkSession, sf: str) -> DataFrame:
+    return _p4_placed(spark, sf, release=True).withColumnRenamed("row", "source_row")
+
+
+def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each split of ``p4_settled``: components that other splits hold too."""
+    from annotide.llm.group_splits import split_balance
 
-    return assigned_records(_p4_members(spark, sf)).withColumnRenamed("row", "source_row")
+    return split_balance(_p4_placed(spark, sf, release=True)).select("split", "wanted", "n_spread")
 
 
 def _p5_rows(spark: SparkSession, sf: str) -> DataFrame:
