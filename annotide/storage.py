@@ -53,6 +53,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_parts(self, df: DataFrame, label: str, part: str) -> DataFrame:
+        """Writes the rows of each value of ``part`` to a folder of its own, without a shuffle."""
+        df.write.mode("overwrite").partitionBy(part).parquet(f"{self.root}/{label}")
+        return self.read(label, df.schema)
+
+    def read(self, label: str, schema) -> DataFrame:
+        """A scan of what was written under ``label``, its parts included."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{label}")
+
     def write_counted(self, df: DataFrame, label: str, *columns: str) -> tuple[DataFrame, tuple[int, int]]:
         """Writes the rows and returns their scan, their number and an order-free hash of ``columns``, all in one job."""
         seen = Observation()
