@@ -1,11 +1,13 @@
 """Duplicates hidden by formatting: partition-merged Bloom filters of canonical hashes.
 
-Each task fills two Bloom filters, of the canonical hashes it saw once and of those it saw again. The filters are cut
-into blocks and merged block by block: a hash of two tasks' filters counts as repeated. In a second pass only rows
-whose hash may be repeated are shuffled for exact grouping; all others are singletons where they stand.
-
-The filters have 16 bits a row, at most ``MOST_BITS`` (32 MB, which is what is broadcast). Beyond that size more rows
-pass the filter and are shuffled; the result stays exact.
+The texts are read once, for their canonical hashes. The range of the hashes is cut into so many parts that a part's
+filters take no more than ``most_bits`` each at ``BITS_A_ROW`` bits a row; a part's rows are written apart, without a
+shuffle. Part by part, each task fills two Bloom filters, of the hashes it saw once and of those it saw again. The
+filters are cut into blocks and merged block by block: a hash of two tasks' filters counts as repeated. Only rows whose
+hash may be repeated are then shuffled for exact grouping; all others are singletons where they stand.
+
+A filter is as full with 10^10 rows as with 10^6; what grows is the number of parts. The driver holds one part's filter
+at a time, and what is broadcast is never larger than ``most_bits``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from annotide.storage import Scratch
 
-MOST_BITS, BLOCK_BITS, PROBES = 1 << 28, 1 << 19, 4
+#: Bits of a filter at most (32 MB), of a block, bits a row, and bits set for each hash.
+MOST_BITS, BLOCK_BITS, BITS_A_ROW, PROBES = 1 << 28, 1 << 19, 16, 4
 _DROP = re.compile(r"[\W_]+")
 _DIVIDER = re.compile("[;|\\n\\r\\v\\f\\x1c-\\x1e\\x85\\u2028\\u2029]")
 _FIELD = re.compile(r"[^:]*[^\W_][^:]*:.*[^\W_]", re.S)
@@ -67,14 +70,24 @@ def _set(filter_: np.ndarray, probes: np.ndarray) -> None:
     np.bitwise_or.at(filter_, (probes >> np.uint64(3)).ravel(), np.left_shift(1, (probes & np.uint64(7)).ravel().astype(np.uint8), dtype=np.uint8))
 
 
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        index, digests = _digests(batch.column(1).to_pylist())
+        signed = digests.view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(signed[:, 0]), pa.array(signed[:, 1])], names=["row", "h1", "h2"])
+
+
+def _columns(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy() for k in (at, at + 1)], axis=1).view("<u8")
+
+
 def _fill(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            _, digests = _digests(batch.column(0).to_pylist())
-            if not len(digests):
+            if not batch.num_rows:
                 continue
-            distinct, counts = np.unique(digests, axis=0, return_counts=True)
+            distinct, counts = np.unique(_columns(batch, 0), axis=0, return_counts=True)
             probes = _probes(distinct, bits)
             _set(again, probes[(counts > 1) | _test(once, probes)])
             _set(once, probes)
@@ -114,34 +127,45 @@ def _sift(shared, bits: int):
         for k, part in shared.value.items():
             again[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(part), np.uint8)
         for batch in batches:
-            index, digests = _digests(batch.column(1).to_pylist())
-            rows = batch.column(0).take(pa.array(index))
-            maybe = _test(again, _probes(digests, bits)) if len(index) else np.zeros(0, bool)
-            signed = digests.view("<i8")
-            yield pa.RecordBatch.from_arrays([rows, pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(maybe)], names=["row", "h1", "h2", "maybe"])
+            maybe = _test(again, _probes(_columns(batch, 1), bits)) if batch.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=["row", "h1", "h2", "maybe"])
 
     return run
 
 
-def hashed_records(records: DataFrame, key: str = "source_row", text: str = "target") -> DataFrame:
-    """Of each record that has a text: row, the canonical hash h1 h2, and whether the Bloom filters allow a copy."""
+def hashed_records(records: DataFrame, scratch: Scratch, key: str = "source_row", text: str = "target", most_bits: int | None = None) -> DataFrame:
+    """Of each record that has a text: row, the canonical hash h1 h2, and whether the Bloom filters allow a copy.
+
+    ``most_bits`` is a power of two, ``BLOCK_BITS`` at least, and ``MOST_BITS`` if not given.
+    """
     spark = records.sparkSession
     rows = records.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text")).where("row is not null")
-    bits = max(BLOCK_BITS, min(MOST_BITS, 1 << (max(1, 16 * records.count()) - 1).bit_length()))
-    parts = rows.select("text").mapInArrow(_fill(bits), "block int, once binary, again binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, again binary")
-    again = {r["block"]: r["again"] for r in merged.collect()}  # bounded by MOST_BITS
-    return rows.mapInArrow(_sift(spark.sparkContext.broadcast(again), bits), "row long, h1 long, h2 long, maybe boolean")
-
-
-def copy_groups(records: DataFrame, key: str = "source_row", text: str = "target") -> DataFrame:
+    schema = "row long, h1 long, h2 long"
+    hashed, (count, _) = scratch.write_counted(rows.mapInArrow(_hash, schema), "hashes", "h1")
+    bits = max(BLOCK_BITS, min(most_bits or MOST_BITS, 1 << (max(1, BITS_A_ROW * count) - 1).bit_length()))
+    parts = -(-BITS_A_ROW * count // bits) or 1
+    if parts > 1:
+        # h1 also gives the place in the filter; the part comes from other bits of both halves
+        part = F.pmod(F.xxhash64("h1", "h2"), F.lit(parts)).cast("int")
+        hashed = scratch.write_parts(hashed.withColumn("part", part), "parts", "part")
+    for k in range(parts):
+        own = hashed.where(F.col("part") == k).drop("part") if parts > 1 else hashed
+        blocks = own.select("h1", "h2").mapInArrow(_fill(bits), "block int, once binary, again binary")
+        merged = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, again binary")
+        shared = spark.sparkContext.broadcast({r["block"]: r["again"] for r in merged.collect()})  # bounded by most_bits
+        scratch.write(own.mapInArrow(_sift(shared, bits), schema + ", maybe boolean"), f"sifted/part={k}")
+        shared.destroy()
+    return scratch.read("sifted", schema + ", maybe boolean, part int").drop("part")
+
+
+def copy_groups(records: DataFrame, key: str = "source_row", text: str = "target", most_bits: int | None = None) -> DataFrame:
     """One row per record that has a text: row, first (the smallest row of its set of copies) and n_copies.
 
     ``key`` names a BIGINT. Rows with a null key or a null or blank text are left out; a key that is repeated with the
     same text counts once; other columns are ignored. Sets are exact: the filters only decide which rows are shuffled.
     """
     scratch = Scratch(records.sparkSession, "format-copies")
-    hashed = scratch.write(hashed_records(records, key, text), "hashed")
+    hashed = hashed_records(records, scratch, key, text, most_bits)
     few = hashed.where("maybe").drop("maybe").distinct()
     sets = few.groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count("*").alias("n_copies"))
     repeated = few.join(sets.where("n_copies > 1"), ["h1", "h2"]).select("row", "first", "n_copies")
@@ -150,9 +174,9 @@ def copy_groups(records: DataFrame, key: str = "source_row", text: str = "target
     return repeated.union(single.select("row", F.col("row").alias("first"), F.lit(1).cast("long").alias("n_copies")))
 
 
-def copy_pairs(records: DataFrame, key: str = "source_row", text: str = "target") -> DataFrame:
+def copy_pairs(records: DataFrame, key: str = "source_row", text: str = "target", most_bits: int | None = None) -> DataFrame:
     """Of each set of copies its smallest row with each other one: row_1, row_2."""
-    few = hashed_records(records, key, text).where("maybe").drop("maybe").distinct()
-    few = Scratch(records.sparkSession, "format-copies").write(few, "few")
+    scratch = Scratch(records.sparkSession, "format-copies")
+    few = scratch.write(hashed_records(records, scratch, key, text, most_bits).where("maybe").drop("maybe").distinct(), "few")
     sets = few.groupBy("h1", "h2").agg(F.min("row").alias("row_1"), F.count("*").alias("n")).where("n > 1")
     return few.join(sets, ["h1", "h2"]).where("row <> row_1").select("row_1", F.col("row").alias("row_2"))

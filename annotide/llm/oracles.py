@@ -18,15 +18,30 @@ edges AS (SELECT 'r' || source_row AS a, 'g' || id AS b FROM related WHERE id IS
 {_REACH},
 spread AS (SELECT root FROM comp JOIN split_manifest m ON id = 'r' || m.source_row GROUP BY root HAVING count(DISTINCT "partition") > 1)"""
 
-SQL: dict[str, str] = {
-    "p1_found": """WITH side AS (SELECT DISTINCT source_row, "partition" = 'train' AS train FROM split_manifest), t AS (SELECT source_row, train, unnest(regexp_extract_all(lower(target), '[\\pL\\pN]+')) AS w FROM autalic JOIN side USING (source_row)),
+_PAIRS = """side AS (SELECT DISTINCT source_row, "partition" = 'train' AS train FROM split_manifest), t AS (SELECT source_row, train, unnest(regexp_extract_all(lower(target), '[\\pL\\pN]+')) AS w FROM autalic JOIN side USING (source_row)),
 o AS (SELECT source_row, train, w, row_number() OVER (PARTITION BY source_row, w) AS k, count(*) OVER (PARTITION BY source_row) AS n FROM t)
 SELECT least(a.source_row, b.source_row) AS source_row_1, greatest(a.source_row, b.source_row) AS source_row_2 FROM o a JOIN o b ON a.w = b.w AND a.k = b.k AND a.train AND NOT b.train AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
-GROUP BY a.source_row, b.source_row, a.n, b.n HAVING 5 * count(*) >= 4 * greatest(a.n, b.n)""",
+GROUP BY a.source_row, b.source_row, a.n, b.n HAVING 5 * count(*) >= 4 * greatest(a.n, b.n)"""
+
+_GRAMS = """long AS (SELECT source_row, unnest([1, 2, 3]) AS field, unnest([preceding, target, following]) AS t FROM autalic),
+g AS (SELECT source_row, field, i, substr(t, i::INT, 160) AS s FROM (SELECT source_row, field, t, unnest(range(1, length(t) - 158)) AS i FROM long WHERE length(t) >= 160))"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_PAIRS}",
+    "p1_report": f"""WITH found AS (WITH {_PAIRS}),
+held AS (SELECT DISTINCT source_row, "partition" FROM split_manifest WHERE "partition" <> 'train'),
+hit AS (SELECT DISTINCT source_row FROM held SEMI JOIN (SELECT source_row_1 AS source_row FROM found UNION SELECT source_row_2 FROM found) USING (source_row))
+SELECT "partition", lower(trim(source)) AS source, count(*) AS n_windows, count(h.source_row) AS n_overlapping, round(count(h.source_row) / count(*), 6) AS share
+FROM held LEFT JOIN autalic USING (source_row) LEFT JOIN hit h USING (source_row) GROUP BY ALL""",
     "p2_found": f"WITH {_COPIES} SELECT first AS source_row_1, source_row AS source_row_2 FROM keyed JOIN sets USING (key) WHERE source_row <> first",
     "p2_records": f"WITH {_COPIES} SELECT first AS source_row, n_copies FROM sets",
-    "p3_found": """WITH long AS (SELECT source_row, unnest([preceding, target, following]) AS t FROM autalic), g AS (SELECT DISTINCT source_row, substr(t, i::INT, 160) AS s FROM (SELECT source_row, t, unnest(range(1, length(t) - 158)) AS i FROM long WHERE length(t) >= 160))
+    "p3_found": f"""WITH {_GRAMS}
 SELECT DISTINCT a.source_row AS source_row_1, b.source_row AS source_row_2 FROM g a JOIN g b ON a.s = b.s AND a.source_row < b.source_row""",
+    "p3_share": f"""WITH {_GRAMS}, shared AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT source_row) > 1),
+starts AS (SELECT source_row, field, i, lag(i) OVER (PARTITION BY source_row, field ORDER BY i) AS before FROM g SEMI JOIN shared USING (s)),
+covered AS (SELECT source_row, sum(least(160, i - coalesce(before, i - 160)))::BIGINT AS n_shared FROM starts GROUP BY 1),
+sizes AS (SELECT source_row, coalesce(length(preceding), 0) + coalesce(length(target), 0) + coalesce(length(following), 0) AS n_chars FROM autalic)
+SELECT source_row, n_chars, coalesce(n_shared, 0) AS n_shared, CASE WHEN n_chars > 0 THEN round(coalesce(n_shared, 0) / n_chars, 6) END AS share FROM sizes LEFT JOIN covered USING (source_row)""",
     "p4_found": f"WITH RECURSIVE {_SPREAD} SELECT DISTINCT m.source_row FROM split_manifest m JOIN comp ON id = 'r' || m.source_row JOIN spread USING (root)",
     "p4_splits": f"""WITH RECURSIVE {_SPREAD}, named AS (SELECT root, min(substr(id, 2)) FILTER (WHERE id[1] = 'g') AS component FROM comp GROUP BY root),
 m AS (SELECT DISTINCT source_row, "partition" FROM split_manifest)

@@ -16,10 +16,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.split_overlap import cross_split_pairs, overlap_report
+    from annotide.llm.split_overlap import overlap_report
 
-    records, splits = table(spark, sf, "autalic"), table(spark, sf, "split_manifest")
-    return overlap_report(cross_split_pairs(records, splits), records, splits)
+    return overlap_report(table(spark, sf, "autalic"), table(spark, sf, "split_manifest"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,10 +41,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_share(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.shared_spans import shared_share, shared_spans
+    from annotide.llm.shared_spans import shared_share
 
-    records = table(spark, sf, "autalic")
-    return shared_share(shared_spans(records), records).withColumnRenamed("row", "source_row")
+    return shared_share(table(spark, sf, "autalic")).withColumnRenamed("row", "source_row")
 
 
 def _p4_placed(spark: SparkSession, sf: str, release: bool = False) -> DataFrame:

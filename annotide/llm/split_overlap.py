@@ -12,9 +12,10 @@ either squared norm. A word that occurs k times is indexed as k unit terms (word
 * Inside a list, pairs of the two sides are compared in blocks by length, by the residuals, and by a 128-bit sketch
   whose differing bits bound the words not shared. What is left gets the exact dot product.
 
+The dot product decides first: a pair below a cosine of 0.8 is dropped; of the others the words in common are counted.
 Records with the same words form one class; only classes are joined. Lists of frequent words are spread over a grid of
-tasks, so that no task holds a whole one. The table of frequent words that orders the terms has at most
-``TOP_WORDS`` entries; any order gives the same pairs, words outside it simply come first.
+tasks by their true lengths, so that no task holds a whole one. The statistics of the ``TOP_WORDS`` most frequent words
+are broadcast; those of all other words are joined to the classes that hold them.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 from annotide.storage import Scratch
 
 WORD = re.compile(r"[^\W_]+")
+#: Words whose statistics are broadcast. No other word stands in more than 1 / TOP_WORDS of all places, so the join on
+#: the rest has no hot key.
 TOP_WORDS = 50_000
 #: Entries of a frequent word's list, at most, in one task: of the side held in memory, and of the streamed side.
 HELD, STREAMED = 1 << 16, 1 << 18
 _TILE = 1 << 21
+#: Four fifths, less what rounding may take.
+LEAST_COSINE = 0.8 - 1e-9
 
 
 def words(text: str | None) -> list[str]:
@@ -87,22 +92,37 @@ def _grid(texts: int) -> tuple[int, int]:
     return -(-texts // HELD) or 1, -(-texts // STREAMED) or 1
 
 
-def _postings(known: dict[str, tuple[int, int, int]], complete: bool):
-    """Emits fragments of inverted lists: key, side (train first), entries."""
-    absent = (0, 0, 0) if complete else (0, 1 << 30, 1 << 30)
+def _rare(known: dict[str, tuple[int, int, int]]):
+    """cid and each of its words that ``known`` lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, words_ = [], []
+            for cid, joined in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rare = {w for w in joined.split(" ") if w not in known}
+                cids.extend([cid] * len(rare))
+                words_.extend(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(words_, pa.string())], names=["cid", "word"])
+
+    return run
+
+
+def _postings(known: dict[str, tuple[int, int, int]]):
+    """Emits fragments of inverted lists: key, side (train first), entries. Statistics come from ``known`` or with the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[tuple[str, int], int] = {}
         for batch in batches:
             lists: dict[tuple[int, int, int], list] = {}
             entries = np.zeros(batch.num_rows, _POSTING)
-            for i, (cid, joined, train, other) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+            for i, (cid, joined, train, other, rare) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
+                own = {r["word"]: (r["texts"], r["a"], r["b"]) for r in rare or ()}
                 counts = Counter(joined.split(" "))
                 n = sum(counts.values())
                 terms = []
                 bits = 0
                 for word, count in counts.items():
-                    info = known.get(word, absent)
+                    info = known.get(word) or own[word]
                     for k in range(1, count + 1):
                         h = hashes.get((word, k))
                         if h is None:
@@ -124,11 +144,11 @@ def _postings(known: dict[str, tuple[int, int, int]], complete: bool):
                         if held == streamed == 1:
                             cells = ((0, 0),)
                         elif side:
-                            own = cid % streamed
-                            cells = tuple((j, own) for j in range(held))
+                            place = cid % streamed
+                            cells = tuple((j, place) for j in range(held))
                         else:
-                            own = cid % held
-                            cells = tuple((own, j) for j in range(streamed))
+                            place = cid % held
+                            cells = tuple((place, j) for j in range(streamed))
                         for a, b in cells:
                             key = h if (a, b) == (0, 0) else xxhash.xxh3_64_intdigest(f"{h} {a} {b}".encode())
                             lists.setdefault((key, side), []).append((i, at))
@@ -209,20 +229,21 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = Counter(x.split(" ")), Counter(y.split(" "))
             nx, ny = sum(x.values()), sum(y.values())
             shared = x.keys() & y.keys()
+            cosine = sum(math.sqrt(x[w] * y[w]) for w in shared) / math.sqrt(nx * ny)
+            if cosine < LEAST_COSINE:
+                continue
             common = sum(min(x[w], y[w]) for w in shared)
             if 5 * common >= 4 * max(nx, ny):
-                for column, value in zip(out, (a, b, common, sum(math.sqrt(x[w] * y[w]) for w in shared) / math.sqrt(nx * ny)), strict=True):
+                for column, value in zip(out, (a, b, common, cosine), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["c1", "c2", "common", "cosine"])
 
 
-def cross_split_pairs(records: DataFrame, splits: DataFrame, key: str = "source_row", text: str = "target", partition: str = "partition", train: str = "train") -> DataFrame:
-    """All pairs of a train record and a record of another split that share four fifths of their words.
-
-    ``records`` has ``key`` (BIGINT) and ``text``; ``splits`` has ``key`` and ``partition``. Returns row_other, row_train,
-    common, cosine. Rows with a null key, null partition or without words are in no pair; repeated rows count once;
-    other columns are ignored, so their names may clash; empty tables give no rows.
-    """
+def matched_classes(
+    records: DataFrame, splits: DataFrame, key: str = "source_row", text: str = "target", partition: str = "partition", train: str = "train"
+) -> tuple[DataFrame, DataFrame]:
+    """(c1, c2, common, cosine) of matching classes, c1 with records of other splits and c2 with train records; and
+    (row, train, cid) of every record. A class is all records with the same words, each as often."""
     spark = records.sparkSession
     scratch = Scratch(spark, "split-overlap")
     sides = splits.select(F.col(key).cast("long").alias("row"), (F.col(partition) == train).alias("train")).dropna().distinct()
@@ -236,23 +257,60 @@ def cross_split_pairs(records: DataFrame, splits: DataFrame, key: str = "source_
         "classes",
     )
     tally = classes.select("words", "train", "other").mapInArrow(_tally, "word string, texts long, most_train long, most_other long")
-    tally = tally.groupBy("word").agg(F.sum("texts").alias("texts"), F.max("most_train").alias("a"), F.max("most_other").alias("b"))
+    tally = scratch.write(tally.groupBy("word").agg(F.sum("texts").alias("texts"), F.max("most_train").alias("a"), F.max("most_other").alias("b")), "tally")
     top = tally.orderBy(F.desc("texts"), "word").limit(TOP_WORDS).collect()  # bounded by TOP_WORDS
     known = {r["word"]: (r["texts"], r["a"], r["b"]) for r in top}
-    lists = classes.select("cid", "words", "train", "other").mapInArrow(_postings(known, len(top) < TOP_WORDS), "key long, side byte, entries binary")
+    held = classes.select("cid", "words", "train", "other")
+    if len(top) < TOP_WORDS:  # no word is left out
+        held = held.withColumn("rare", F.lit(None).cast("array<struct<word:string,texts:long,a:long,b:long>>"))
+    else:
+        rare = classes.select("cid", "words").mapInArrow(_rare(known), "cid long, word string").join(tally, "word")
+        rare = rare.groupBy("cid").agg(F.collect_list(F.struct("word", "texts", "a", "b")).alias("rare"))  # within one text
+        held = held.join(rare, "cid", "left")
+    lists = held.mapInArrow(_postings(known), "key long, side byte, entries binary")
     candidates = lists.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_join_lists, "c1 long, c2 long").distinct()
     one, two = (classes.select(F.col("cid").alias(f"c{i}"), F.col("words").alias(f"w{i}")) for i in (1, 2))
     pairs = candidates.join(one, "c1").join(two, "c2").select("c1", "c2", "w1", "w2").mapInArrow(_exact, "c1 long, c2 long, common long, cosine double")
-    members = rows.join(classes.select("h1", "h2", "cid"), ["h1", "h2"])
+    return pairs, rows.join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("row", "train", "cid")
+
+
+def cross_split_pairs(
+    records: DataFrame, splits: DataFrame, key: str = "source_row", text: str = "target", partition: str = "partition", train: str = "train"
+) -> DataFrame:
+    """All pairs of a train record and a record of another split that share four fifths of their words.
+
+    ``records`` has ``key`` (BIGINT) and ``text``; ``splits`` has ``key`` and ``partition``. Returns row_other, row_train,
+    common, cosine. Rows with a null key, null partition or without words are in no pair; repeated rows count once;
+    other columns are ignored, so their names may clash; empty tables give no rows.
+    """
+    pairs, members = matched_classes(records, splits, key, text, partition, train)
     other = members.where(~F.col("train")).select(F.col("cid").alias("c1"), F.col("row").alias("row_other"))
     within = members.where("train").select(F.col("cid").alias("c2"), F.col("row").alias("row_train"))
     return pairs.join(other, "c1").join(within, "c2").where("row_other <> row_train").select("row_other", "row_train", "common", "cosine").distinct()
 
 
-def overlap_report(pairs: DataFrame, records: DataFrame, splits: DataFrame, key: str = "source_row", source: str = "source", partition: str = "partition", train: str = "train") -> DataFrame:
-    """Per partition and source (trimmed, case ignored): windows, those that overlap train, and their share."""
-    hit = pairs.select(F.col("row_other").alias("row")).distinct().withColumn("hit", F.lit(1))
-    names = records.select(F.col(key).cast("long").alias("row"), F.lower(F.trim(source)).alias("source")).dropDuplicates(["row"])
+def overlapping_records(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """row of every record of another split that some train record matches, over (pairs, members) of ``matched_classes``.
+
+    Classes are joined, never their records with each other: it is enough that a matching class has a train record
+    other than the record itself.
+    """
+    ends = members.where("train").groupBy(F.col("cid").alias("c2")).agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    reach = pairs.select("c1", "c2").join(ends, "c2").groupBy(F.col("c1").alias("cid")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = members.where(~F.col("train")).join(reach, "cid").where("low <> row or high <> row")
+    return found.select("row").distinct()
+
+
+def overlap_report(
+    records: DataFrame, splits: DataFrame, key: str = "source_row", source: str = "source", text: str = "target",
+    partition: str = "partition", train: str = "train",
+) -> DataFrame:
+    """Per partition and source (trimmed, case ignored): windows, those that overlap train, and their share.
+
+    Of records that repeat a key with several sources the smallest counts.
+    """
+    hit = overlapping_records(*matched_classes(records, splits, key, text, partition, train)).withColumn("hit", F.lit(1))
+    names = records.select(F.col(key).cast("long").alias("row"), F.lower(F.trim(source)).alias("source")).groupBy("row").agg(F.min("source").alias("source"))
     held = splits.select(F.col(key).cast("long").alias("row"), F.col(partition).alias("partition")).where(F.col(partition) != train).distinct()
     return (
         held.join(names, "row", "left").join(hit, "row", "left").groupBy("partition", "source")

@@ -12,6 +12,7 @@ from annotide.llm import packing as pk
 from annotide.llm import readability as rd
 from annotide.llm import shared_spans as ss
 from annotide.llm import split_overlap as so
+from annotide.storage import Scratch
 
 RECORDS = "source_row long, target string, partition string, cid string, words string"
 SPLITS = "source_row long, partition string, target string"
@@ -74,10 +75,35 @@ def test_cross_split_hot_words_are_spread_over_tasks(spark, monkeypatch):
 def test_report(spark):
     records, splits = [(1, "a b c"), (2, "a b c"), (3, "d")], [(1, "train"), (2, "test"), (3, "test")]
     df = spark.createDataFrame([(r, t, s) for (r, t), s in zip(records, ("x", " X", "x"), strict=True)], "source_row long, target string, source string")
-    out = so.overlap_report(cross(spark, records, splits), df, spark.createDataFrame(splits, "source_row long, partition string")).collect()
+    out = so.overlap_report(df, spark.createDataFrame(splits, "source_row long, partition string")).collect()
     assert [(r["partition"], r["source"], r["n_windows"], r["n_overlapping"]) for r in out] == [("test", "x", 2, 1)]
 
 
+def test_a_hot_word_outside_the_broadcast_table(spark, monkeypatch):
+    monkeypatch.setattr(so, "TOP_WORDS", 5)
+    monkeypatch.setattr(so, "HELD", 20)
+    r = random.Random(3)
+    # the five broadcast words are in all texts; "zz" is in most of the test texts, too, and in train texts more than once
+    records = [(i, "a b c d e zz " + " ".join(f"u{r.randrange(6)}" for _ in range(4)) + " zz" * (i % 3)) for i in range(90)]
+    splits = [(i, "train" if i % 2 else "test") for i in range(90)]
+    df = spark.createDataFrame(records, "source_row long, target string")
+    sp = spark.createDataFrame(splits, "source_row long, partition string")
+    want = brute_pairs(records, splits)
+    assert {(x["row_other"], x["row_train"]) for x in so.cross_split_pairs(df, sp).collect()} == want
+    found = so.overlapping_records(*so.matched_classes(df, sp))
+    assert {x["row"] for x in found.collect()} == {a for a, _ in want}
+
+
+def test_equal_texts_give_linear_reports(spark):
+    n = 3000
+    records = spark.range(n).select(F.col("id").alias("source_row"), F.lit("The very same words, again.").alias("target"), F.lit("s").alias("source"))
+    splits = spark.range(n).select(F.col("id").alias("source_row"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("partition"))
+    pairs, _ = so.matched_classes(records, splits)
+    assert pairs.count() == 1
+    row = so.overlap_report(records, splits).collect()
+    assert [(r["n_windows"], r["n_overlapping"], r["share"]) for r in row] == [(n // 2, n // 2, 1.0)]
+
+
 # --- copies hidden by formatting -----------------------------------------------------------------------------------
 
 
@@ -88,10 +114,9 @@ def test_canonical_forms():
     assert not same("a: 1; b: 2; c", "c; a: 1; b: 2") and fc.canonical(" \n") is None and fc.canonical(None) is None
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 19])
-def test_copies_equal_brute_force_even_with_full_filters(spark, monkeypatch, bits):
-    monkeypatch.setattr(fc, "BLOCK_BITS", min(bits, 1 << 12))
-    monkeypatch.setattr(fc, "MOST_BITS", bits)
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 12, 1 << 19])
+def test_copies_equal_brute_force_whatever_the_size_of_a_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(fc, "BLOCK_BITS", min(bits, 1 << 10))
     r = random.Random(5)
     texts = [f"Text {r.randrange(400)}" for _ in range(900)] + ["hot copy"] * 400 + [None, "", "  ", "..."]
     rows = [(i, r.choice((str.upper, str.lower, lambda s: s.replace(" ", "\n\t") + "!"))(t) if t else t) for i, t in enumerate(texts)]
@@ -100,12 +125,22 @@ def test_copies_equal_brute_force_even_with_full_filters(spark, monkeypatch, bit
     for i, t in rows:
         if fc.canonical(t) is not None:
             sets.setdefault(fc.canonical(t), []).append(i)
-    assert {tuple(x) for x in fc.copy_pairs(df).collect()} == {(min(s), i) for s in sets.values() for i in s if i != min(s)}
-    got = fc.copy_groups(df).collect()
+    assert {tuple(x) for x in fc.copy_pairs(df, most_bits=bits).collect()} == {(min(s), i) for s in sets.values() for i in s if i != min(s)}
+    got = fc.copy_groups(df, most_bits=bits).collect()
     assert len(got) == sum(map(len, sets.values()))
     assert {(x["row"], x["first"], x["n_copies"]) for x in got} == {(i, min(s), len(s)) for s in sets.values() for i in s}
 
 
+def test_small_filters_still_sift(spark, monkeypatch):
+    monkeypatch.setattr(fc, "BLOCK_BITS", 1 << 13)
+    n = 4000
+    df = spark.range(n).select(F.col("id").alias("source_row"), F.concat(F.lit("text "), F.when(F.col("id") < 100, 0).otherwise(F.col("id"))).alias("target"))
+    hashed = fc.hashed_records(df.repartition(4), Scratch(spark, "t"), most_bits=1 << 13)  # eight parts
+    assert hashed.count() == n
+    assert hashed.where("maybe and row < 100").count() == 100
+    assert hashed.where("maybe and row >= 100").count() < 0.01 * n
+
+
 def test_no_copies(spark):
     empty = spark.createDataFrame([], "source_row long, target string")
     assert fc.copy_pairs(empty).count() == fc.copy_groups(empty).count() == 0
@@ -140,7 +175,7 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch, seed):
     for x in spans.collect():
         a, b = text[x["row_1"]][x["field_1"]], text[x["row_2"]][x["field_2"]]
         assert x["length"] >= 80 and a[x["start_1"] : x["start_1"] + x["length"]] == b[x["start_2"] : x["start_2"] + x["length"]]
-    share = {x["row"]: x for x in ss.shared_share(spans, df).collect()}
+    share = {x["row"]: x for x in ss.shared_share(df, span=80).collect()}
     for row, *texts in rows:
         covered = 0
         for t in texts:
@@ -158,10 +193,19 @@ def test_shared_spans_hard_rows(spark):
     rows = [(None, long, None, None), (1, long, None, None), (1, long, None, None), (2, "", None, "x" + long[100:900]), (3, long[:159], None, None)]
     assert {(x["row_1"], x["row_2"]) for x in ss.shared_spans(spark.createDataFrame(rows, schema)).collect()} == {(1, 2)}
     assert ss.shared_spans(spark.createDataFrame([], schema)).count() == 0
+    assert ss.shared_share(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         ss.shared_spans(spark.createDataFrame([], schema), span=10)
 
 
+def test_the_share_makes_no_pairs(spark):
+    boilerplate = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(200))
+    rows = [(i, f"{i:04d} starts here. {boilerplate} and {i * 7919:08d} ends.", None, None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "source_row long, preceding string, target string, following string")
+    out = ss.shared_share(df).collect()
+    assert len(out) == 2000 and all(r["n_shared"] >= 200 + len(" starts here. ") + len(" and ") for r in out)
+
+
 # --- encoding and packing ------------------------------------------------------------------------------------------
 
 TEXTS = [None, "", " ", "Hello there, it's me.", "word " * 3000, "x" * 20_000, "\n\n  \t" * 2000, "日本語のテキスト" * 900, "áb " * 2000, "\U0001f600 ok " * 1500, "1234567890" * 900, "Don't we'll they've " * 600, "<|endoftext|> plain"]
