@@ -1,21 +1,24 @@
 """Rows that fail to parse: a minimum-cost error parse of undigested CSV records.
 
-A record is parsed by a small automaton over its characters. A parse of cost zero loads the row if its values are
-valid. Otherwise dynamic programming finds the cheapest edits that make it parse, and they state the reason:
+A record is parsed by a small automaton over its characters: which field it is in, whether within quotes, and what the
+field holds so far. Dynamic programming over the record finds the fewest quotes and delimiters to insert or delete after
+which it has the right number of columns, valid scores and a target. A row of cost zero loads. Otherwise the states that
+the automaton reaches without any edit tell the reason (at which of its rules the parse breaks first), and the edits are
+the detail.
 
-* first over quotes, which it may insert or delete anywhere, whatever the number of columns: edits here mean
-  ``quoting``;
-* if none are needed, over delimiters, which it may insert or delete outside quotes until the number of columns is
-  right: edits here mean ``column_count``.
-
-The cost-zero test is one pass over the record; only failing records, about as many as their failures, go through the
-tables of the dynamic programme, whose size is the record's length times the automaton's four states.
+Characters that no rule looks at are one symbol of the programme: an edit within them changes nothing that an edit
+beside them does not. What a symbol may do, with any quotes and delimiters inserted before it, is a matrix of costs
+between the automaton's fewer than a hundred states, made once; a record's table has a row of predecessors a symbol, so
+time and memory are in proportion to its length, whatever that is. Only failing records go that far.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +26,15 @@ from pyspark.sql import functions as F
 FIELDS = ("preceding", "target", "following", "A1_Score", "A2_Score", "A3_Score")
 SCORES = ("A1_Score", "A2_Score", "A3_Score")
 LABELS = frozenset(("-1", "0", "1"))
-#: Edits that are spelled out; further ones are counted. Of a longer record than LONGEST only the reason is told.
-SHOWN, LONGEST = 8, 200_000
 
-# States: at the start of a field, within a plain one, within a quoted one, right after a quote inside a quoted one.
+# States of quoting: at the start of a field, within a plain one, within a quoted one, right after a quote inside a quoted one.
 _START, _PLAIN, _QUOTED, _CLOSED = range(4)
+# What a field holds so far: nothing but blanks, a minus sign, a label, a label and blanks, anything else.
+_BLANK, _SIGN, _LABEL, _ENDED, _OTHER = range(5)
+_SYMBOL = re.compile(r'[",01-]|\s+|[^",01\s-](?:[^",01-]*[^",01\s-])?')
+_CLASSES = ('"', ",", "-", "0", "1", " ", "x")
+#: An edit outweighs the odd places of a whole record.
+_EDIT, _NEVER = 1 << 32, 1 << 61
 
 
 def split_fields(record: str) -> list[str] | None:
@@ -62,7 +69,7 @@ def split_fields(record: str) -> list[str] | None:
 
 
 def _step(state: int, char: str) -> int:
-    """The next state, or -1 where the automaton has none."""
+    """The next state of quoting, or -1 where the automaton has none."""
     if state == _START:
         return _QUOTED if char == '"' else _START if char == "," else _PLAIN
     if state == _PLAIN:
@@ -72,90 +79,169 @@ def _step(state: int, char: str) -> int:
     return _QUOTED if char == '"' else _START if char == "," else -1
 
 
-def quote_edits(record: str) -> list[tuple[str, int]]:
-    """The fewest insertions and deletions of quotes after which the record parses, by place; ties keep what comes first in the record.
+def _hold(held: int, symbol: str) -> int:
+    """What a field holds after one more symbol of its text."""
+    if symbol.isspace():
+        return {_BLANK: _BLANK, _LABEL: _ENDED, _ENDED: _ENDED}.get(held, _OTHER)
+    if held == _BLANK and symbol in "-01":
+        return _SIGN if symbol == "-" else _LABEL
+    return _LABEL if held == _SIGN and symbol == "1" else _OTHER
+
 
-    Insertions stand before the character at their place. A quote is inserted where the automaton has a next state.
+class _Machine:
+    """The automaton's states with the costs of moving between them over a symbol, inserting and deleting on the way.
+
+    Of parses with equally many edits one with few odd places is taken: a delimiter is more likely to be text, and so
+    to be deleted, where a blank follows it, and more likely to be missing where a blank stands. Further ties are
+    settled by the order of the states.
     """
-    n, inf = len(record), 1 << 30
-    # cost[i][s]: edits needed from character i on in state s, from the end backwards
-    cost = [[inf] * 4 for _ in range(n + 1)]
-    choice = [[""] * 4 for _ in range(n + 1)]
-    for s in (_START, _PLAIN, _CLOSED):
-        cost[n][s] = 0
-    cost[n][_QUOTED], choice[n][_QUOTED] = 1, "insert"
-    for i in range(n - 1, -1, -1):
-        char, here, nxt = record[i], cost[i], cost[i + 1]
-        for s in range(4):
-            to = _step(s, char)
-            if to >= 0 and nxt[to] < here[s]:
-                here[s], choice[i][s] = nxt[to], "keep"
-            if char == '"' and nxt[s] + 1 < here[s]:
-                here[s], choice[i][s] = nxt[s] + 1, "delete"
-        before = list(here)
-        for s in range(4):  # one inserted quote, then at most one more
-            to = _step(s, '"')
-            if to >= 0 and before[to] + 1 < here[s]:
-                here[s], choice[i][s] = before[to] + 1, "insert"
-        again = list(here)
-        for s in range(4):
-            to = _step(s, '"')
-            if to >= 0 and again[to] + 1 < here[s]:
-                here[s], choice[i][s] = again[to] + 1, "insert"
-    edits, i, s = [], 0, _START
-    while i < n or s == _QUOTED:
-        what = choice[i][s]
-        if what == "insert":
-            edits.append(("insert quote", i))
-            s = _step(s, '"')
-        elif what == "delete":
-            edits.append(("delete quote", i))
-            i += 1
-        else:
-            s = _step(s, record[i])
-            i += 1
-    return edits
 
+    def __init__(self, columns: int, scores: frozenset[int], target: int, typed: bool):
+        self.columns, self.scores, self.target, self.typed = columns, scores, target, typed
+        self.states = [(0, _START, _BLANK)]
+        for state in self.states:  # grows while it is read
+            for symbol in _CLASSES:
+                to = self._next(state, symbol)
+                if to is not None and to not in self.states:
+                    self.states.append(to)
+        self.number = {state: k for k, state in enumerate(self.states)}
+        self.steps = {symbol: [self.number.get(self._next(s, symbol), -1) for s in self.states] for symbol in _CLASSES}
+        self.final = np.array([f == columns - 1 and q != _QUOTED and self._ended(f, h) for f, q, h in self.states])
+        self.inserted = {blank: self._closure(blank) for blank in (False, True)}
+        # a delimiter has two matrices: with a blank after it, and without
+        self.moves = {(symbol, after): self._over(symbol, after) for symbol in _CLASSES for after in (False, True) if symbol == "," or not after}
+
+    def _ended(self, field: int, held: int) -> bool:
+        """Whether a field may end with what it holds."""
+        if not self.typed:
+            return True
+        return held in (_LABEL, _ENDED) if field in self.scores else held != _BLANK if field == self.target else True
+
+    def _next(self, state: tuple[int, int, int], symbol: str) -> tuple[int, int, int] | None:
+        """The state (field, quoting, held) after a symbol; None if there is none."""
+        field, quoting, held = state
+        to = _step(quoting, symbol)
+        if to < 0:
+            return None
+        if symbol == "," and to == _START:
+            return (field + 1, _START, _BLANK) if field + 1 < self.columns and self._ended(field, held) else None
+        if not self.typed or field != self.target and field not in self.scores:
+            return field, to, held
+        if symbol == '"' and (quoting == _START or to == _CLOSED):  # opens or closes a field
+            return field, to, held
+        return field, to, _hold(held, symbol)
+
+    def _closure(self, blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Least costs of reaching a state by insertions alone, and the state before the last of them."""
+        n = len(self.states)
+        cost = np.full((n, n), _NEVER, dtype=np.int64)
+        np.fill_diagonal(cost, 0)
+        before = np.tile(np.arange(n)[:, None], n)
+        for _ in range(2 * self.columns + 2):  # no more insertions than that make sense in one place
+            for symbol, price in (('"', _EDIT), (",", _EDIT + (not blank))):
+                for s, to in enumerate(self.steps[symbol]):
+                    if to >= 0 and not (symbol == "," and self.states[s][1] == _QUOTED):
+                        better = cost[:, s] + price < cost[:, to]
+                        cost[better, to] = cost[better, s] + price
+                        before[better, to] = s
+        return cost, before
+
+    def _price(self, state: int, to: int, symbol: str, after: bool) -> int:
+        """Of consuming a symbol: kept for nothing, or deleted."""
+        if self.steps[symbol][state] == to:
+            return 0
+        if state == to and symbol in '",':
+            return _EDIT + (symbol == "," and not after)
+        return _NEVER
 
-def delimiter_edits(record: str, columns: int) -> list[tuple[str, int]]:
-    """The fewest delimiters to insert at the end, or to delete outside quotes from the last one back, for ``columns`` fields.
+    def _over(self, symbol: str, after: bool) -> np.ndarray:
+        cost, _ = self.inserted[symbol == " "]
+        n = len(self.states)
+        single = np.array([[self._price(s, t, symbol, after) for t in range(n)] for s in range(n)], dtype=np.int64)
+        return np.minimum((cost[:, :, None] + single[None]).min(axis=1), _NEVER)
 
-    The record parses at cost zero, so each delimiter outside quotes parts two fields and each edit changes the number
-    of fields by one.
+    def edits(self, record: str) -> list[tuple[str, int]] | None:
+        """(what, place) of each edit, in order; None if no edits lead to a valid row."""
+        found = list(_SYMBOL.finditer(record))
+        kinds = [t if t in self.steps else " " if t.isspace() else "x" for t in (m.group() for m in found)]
+        n, size = len(found), len(self.states)
+        cost = np.full(size, _NEVER, dtype=np.int64)
+        cost[0] = 0
+        back = np.empty((n, size), dtype=np.uint8)
+        columns = np.arange(size)
+        afters = [k == "," and i + 1 < n and kinds[i + 1] == " " for i, k in enumerate(kinds)]
+        for i in range(n):
+            every = cost[:, None] + self.moves[kinds[i], afters[i]]
+            back[i] = every.argmin(axis=0)
+            cost = np.minimum(every[back[i], columns], _NEVER)
+        last, _ = self.inserted[False]
+        ends = np.where(self.final[None], cost[:, None] + last, _NEVER)
+        state, to = np.unravel_index(int(ends.argmin()), ends.shape)
+        if ends[state, to] >= _NEVER:
+            return None
+        edits = self._insertions(int(state), int(to), False, len(record))
+        state = int(state)
+        for i in range(n - 1, -1, -1):
+            start = int(back[i, state])
+            kind, after = kinds[i], afters[i]
+            reached, _ = self.inserted[kind == " "]
+            way = min(range(size), key=lambda u: reached[start, u] + self._price(u, state, kind, after))  # noqa: B023
+            if self.steps[kind][way] != state:
+                edits.append(("delete quote" if kind == '"' else "delete delimiter", found[i].start()))
+            edits += self._insertions(start, way, kind == " ", found[i].start())
+            state = start
+        return edits[::-1]
+
+    def _insertions(self, state: int, to: int, blank: bool, place: int) -> list[tuple[str, int]]:
+        """The insertions that lead from one state to another, the last one first."""
+        _, before = self.inserted[blank]
+        told = []
+        while to != state:
+            s = int(before[state, to])
+            told.append(("insert quote" if self.steps['"'][s] == to else "insert delimiter", place))
+            to = s
+        return told
+
+
+@functools.lru_cache
+def _machine(columns: int, scores: frozenset[int], target: int, typed: bool) -> _Machine:
+    return _Machine(columns, scores, target, typed)
+
+
+def cheapest_edits(record: str, fields: tuple[str, ...] = FIELDS, scores: tuple[str, ...] = SCORES, target: str = "target") -> tuple[list[tuple[str, int]], bool]:
+    """The fewest edits that make a record a valid row, and True; if none do, those that make it a row of any values, and False.
+
+    Each edit is (what, place); insertions stand before the character at their place.
     """
-    places, state = [], _START
-    for i, char in enumerate(record):
-        if char == "," and state != _QUOTED:
-            places.append(i)
-        state = _step(state, char)
-    missing = columns - 1 - len(places)
-    if missing >= 0:
-        return [("insert delimiter", len(record))] * missing
-    return [("delete delimiter", i) for i in reversed(places[missing:])]
+    where = frozenset(fields.index(s) for s in scores)
+    for typed in (True, False):
+        edits = _machine(len(fields), where, fields.index(target), typed).edits(record)
+        if edits is not None:
+            return edits, typed
+    raise ValueError("a record always has a parse")
 
 
 def _told(edits: list[tuple[str, int]]) -> str:
-    shown = "; ".join(f"{what} at {at}" for what, at in edits[:SHOWN])
-    return shown + (f"; and {len(edits) - SHOWN} more" if len(edits) > SHOWN else "")
+    return "; ".join(f"{what} at {at}" for what, at in edits)
 
 
 def examine(record: str, fields: tuple[str, ...] = FIELDS, scores: tuple[str, ...] = SCORES, target: str = "target") -> tuple[str | None, str | None, int | None, list[str] | None]:
-    """reason, detail, cost and fields of a record; a row that loads has no reason."""
+    """reason, detail, cost and fields of a record; a row that loads has no reason.
+
+    The cost is the number of edits. A row whose columns are right but whose values aren't has its reason in the values;
+    its parse costs nothing.
+    """
     values = split_fields(record)
-    if values is None and len(record) > LONGEST:
-        return "quoting", "too long to spell out the edits", None, None
-    if values is None:
-        edits = quote_edits(record)
-        return "quoting", _told(edits), len(edits), None
-    if len(values) != len(fields):
-        edits = delimiter_edits(record, len(fields))
-        return "column_count", f"{len(values)} fields; {_told(edits)}", len(edits), None
+    if values is None or len(values) != len(fields):
+        edits, _ = cheapest_edits(record, fields, scores, target)
+        reason = "quoting" if values is None else "column_count"
+        return reason, (f"{len(values)} fields; " if values is not None else "") + _told(edits), len(edits), None
     row = dict(zip(fields, values, strict=True))
     bad = [name for name in scores if row[name].strip() not in LABELS]
     if bad:
         return "score_value", ", ".join(f"{name}={row[name]!r}" for name in bad), 0, None
     if not row[target].strip():
-        return "target_empty", f"{target}={row[target][:40]!r}", 0, None
+        return "target_empty", f"{target}={row[target]!r}", 0, None
     return None, None, 0, values
 
 

@@ -1,5 +1,5 @@
-import itertools
 import json
+import random
 
 import pytest
 
@@ -30,24 +30,56 @@ def _edited(record, edits):
     return "".join(out)
 
 
-def test_edits_are_the_fewest_and_repair_the_record():
-    def least(record):
-        for k in range(6):
-            todo = {record}
-            for _ in range(k):
-                todo = {x[:i] + '"' + x[i:] for x in todo for i in range(len(x) + 1)} | {x[:i] + x[i + 1 :] for x in todo for i in range(len(x)) if x[i] == '"'}
-            if any(rr.split_fields(x) is not None for x in todo):
-                return k
-        return None
-
-    for record in map("".join, itertools.product('a",', repeat=5)):
-        if rr.split_fields(record) is None:
-            edits = rr.quote_edits(record)
-            assert len(edits) == least(record), record
-            assert rr.split_fields(_edited(record, edits)) is not None, (record, edits)
-    for record in ("a,b", "a", "a,b,c,d,e,f,g,h", '"x,y",b'):
-        edits = rr.delimiter_edits(record, 4)
-        assert len(rr.split_fields(_edited(record, edits))) == 4
+SMALL = {"fields": ("p", "target", "s"), "scores": ("s",), "target": "target"}
+
+
+def _valid(record):
+    values = rr.split_fields(record)
+    return values is not None and len(values) == 3 and values[1].strip() != "" and values[2].strip() in rr.LABELS
+
+
+def _least(record, most):
+    """Brute force over all insertions and deletions."""
+    seen, layer = {record}, {record}
+    for k in range(most + 1):
+        if any(map(_valid, layer)):
+            return k
+        further = {x[:i] + c + x[i:] for x in layer for i in range(len(x) + 1) for c in '",'}
+        further |= {x[:i] + x[i + 1 :] for x in layer for i in range(len(x)) if x[i] in '",'}
+        layer = further - seen
+        seen |= layer
+    return None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edits_are_the_fewest_and_make_a_valid_row(seed):
+    r = random.Random(seed)
+    for _ in range(200):
+        record = "".join(r.choice('",,a01- ') for _ in range(r.randrange(1, 10)))
+        least = _least(record, 2)
+        edits, valid = rr.cheapest_edits(record, **SMALL)
+        if least is None:
+            assert not valid or len(edits) > 2, record
+        else:
+            assert valid and len(edits) == least and _valid(_edited(record, edits)), record
+
+
+@pytest.mark.parametrize(
+    ("record", "cost"), [('a,"b" x,c,1,0,1', 2), ("p,t, he said, f,1,0,-1", 1), ("p,t,f,10,1", 1), ("p,t,f,1 0,1", 1), ('p,"t,f,1,0,1', 1), ('a,b "c" d,e,1,1,0', 2)]
+)
+def test_repairs_are_valid_rows(record, cost):
+    edits, valid = rr.cheapest_edits(record)
+    assert valid and len(edits) == cost
+    assert rr.examine(_edited(record, edits))[0] is None
+    assert rr.examine(record)[2] == cost
+
+
+def test_records_of_any_length_are_told_in_full():
+    record = 'some, text "quoted" here 10 ' * 300 + ",t,f,1,0,1"
+    reason, detail, cost, _ = rr.examine(record)
+    assert reason == "quoting" and detail.count(";") == cost - 1 > 500
+    edits, valid = rr.cheapest_edits(record)
+    assert valid and rr.examine(_edited(record, edits))[0] is None
 
 
 def test_parsed_records(spark):
