@@ -241,7 +241,7 @@ def test_encoding_of_nothing(spark):
 
 @pytest.mark.parametrize("lengths", [(2048,), (512, 1024, 1536, 2048), (300, 2048)])
 def test_packing(spark, monkeypatch, lengths):
-    monkeypatch.setattr(pk, "ITEMS", 150)
+    monkeypatch.setattr(pk, "PARTS", 3)
     r = random.Random(7)
     sizes = [(i, r.choice((0, 1, 40, 300, 900, 2047, 2048, 2049, 7000)) + r.randrange(3), i) for i in range(800)] + [(None, 5, 1), (900, None, 1), (0, 1, 1)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long, bin long")
@@ -261,18 +261,49 @@ def test_packing(spark, monkeypatch, lengths):
         assert len(v) == -(-whole[k] // 2048) and sorted(v) == [(i * 2048, min(2048, whole[k] - i * 2048)) for i in range(len(v))]
     assert all(used <= room for used, room in bins.values())
     assert all(room == min(c for c in {*lengths, 2048} if c >= used) for used, room in bins.values())
-    assert pk.fill_report(pk.packed(df, lengths=lengths)).first()["unused"] < 0.02
+    containers = {}
+    for x in {(x["bin"], x["length"], x["container"]) for x in rows}:
+        containers[x[2]] = containers.get(x[2], 0) + x[1]
+    assert all(n <= 2048 for n in containers.values()) and sorted(containers) == list(range(len(containers)))
+    report = {x["length"]: x for x in pk.fill_report(pk.packed(df, lengths=lengths)).collect()}
+    assert report[None]["n_containers"] == len(containers) and report[None]["n_tokens"] == sum(whole.values())
+    assert report[None]["unused_of_containers"] < 0.02 and sum(x["n_bins"] for k, x in report.items() if k) == len(bins)
 
 
-def test_best_fit_prefers_the_tightest_bin():
-    bins, lengths = pk.best_fit(np.array([1500, 1000, 548, 500]), (2048,))
-    assert bins.tolist() == [0, 1, 0, 1] and lengths == [2048, 2048]
-    assert pk.best_fit(np.array([], dtype=np.int64))[1] == [] and pk.best_fit(np.array([500]))[1] == [512]
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_hold_every_item_once_and_need_no_more_containers_than_plain_best_fit(seed):
+    r = random.Random(seed)
+    sizes = [max(1, min(2048, int(r.lognormvariate(*r.choice(((4, 1), (6, 1), (7, 0.5))))))) for _ in range(r.choice((1, 30, 4000)))]
+    counts = np.bincount(sizes, minlength=2049)
+    plan = pk.best_plan(counts, pk.LENGTHS)
+    held = Counter()
+    for content, length, times in plan.bins:
+        assert times > 0 and length == min(c for c in pk.LENGTHS if c >= sum(content))
+        for s in content:
+            held[s] += times
+    assert held == Counter(sizes)
+    room = sorted(sizes, reverse=True)
+    plain = []
+    for s in room:
+        fits = [k for k, left in enumerate(plain) if left >= s]
+        if fits:
+            plain[min(fits, key=lambda k: plain[k])] -= s
+        else:
+            plain.append(2048 - s)
+    assert plan.cost()[0] <= len(plain)
+
+
+def test_short_lengths_are_opened_where_they_pay():
+    counts = np.bincount([256] * 400 + [1536] * 100, minlength=2049)
+    plan = pk.best_plan(counts, pk.LENGTHS)
+    assert plan.cost() == (125, 100 * 1536**2 + 200 * 512**2)
+    assert pk.Plan(np.bincount([1500, 1000, 548, 500], minlength=2049), (2048,)).cost()[0] == 2
+    assert pk.best_plan(np.zeros(2049, dtype=int), pk.LENGTHS).bins == []
 
 
 def test_packing_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, n_tokens long")
-    assert pk.packed(empty).count() == 0 and pk.fill_report(pk.packed(empty)).first()["unused"] is None
+    assert pk.packed(empty).count() == 0 and pk.fill_report(pk.packed(empty)).first()["unused_of_containers"] is None
     with pytest.raises(ValueError):
         pk.packed(empty, container=100)
 
