@@ -144,14 +144,19 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p9_pack(spark, sf))
 
 
+def _p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    from annotide.llm.readability import language_profile, reading_levels
+
+    documents = table(spark, sf, "documents")
+    return reading_levels(documents, profile=language_profile(documents))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.readability import demanding, demanding_from, reading_levels
+    from annotide.llm.readability import demanding, demanding_from
 
     threshold = demanding_from(table(spark, sf, "reading_samples"))
-    return demanding(reading_levels(table(spark, sf, "documents")), threshold).select("doc_id")
+    return demanding(_p10_levels(spark, sf), threshold).select("doc_id")
 
 
 def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
-    from annotide.llm.readability import reading_levels
-
-    return reading_levels(table(spark, sf, "documents"))
+    return _p10_levels(spark, sf)

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -317,7 +318,13 @@ def test_counts_equal_encoding(spark):
 # --- reading level -------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("word", "n"), [("cat", 1), ("table", 2), ("make", 1), ("jumped", 1), ("wanted", 2), ("nation", 2), ("idea", 3), ("the", 1), ("beautiful", 3), ("institution", 4), ("boxes", 2), ("rhythm", 1)])
+SYLLABLES = [(w, n) for n, words in {
+    1: "eye cream blue guide guess", 2: "being science create poem chaos cruel naive people lion quiet union prism conscience million",
+    3: "opinion influence theory museum reaction period religious", 4: "cooperate society variety continuous algorithm reinforcing",
+}.items() for w in words.split()]
+
+
+@pytest.mark.parametrize(("word", "n"), [("cat", 1), ("table", 2), ("make", 1), ("jumped", 1), ("wanted", 2), ("nation", 2), ("idea", 3), ("the", 1), ("beautiful", 3), ("institution", 4), ("boxes", 2), ("rhythm", 2), *SYLLABLES])
 def test_syllables(word, n):
     assert rd.syllables(word) == n
 
@@ -340,14 +347,48 @@ def test_layout_does_not_matter():
         assert min(level(laid)) > easy + 10
 
 
+def test_one_word_more_changes_a_run_on_little():
+    words = "the cat sat on the mat and then it ran to the big red park with me".split() * 30
+    grade = [sorted(rd.grades(rd.sentences(" ".join(words[:n]))).values()) for n in range(30, 300)]
+    assert max(abs(a - b) for x, y in zip(grade, grade[1:], strict=False) for a, b in zip(x, y, strict=True)) < 2.5
+    assert grade[-1][2] < grade[10][2]
+
+
+# own sentences, none from the tables
+FOREIGN = {
+    "nl": "De commissie heeft in haar laatste vergadering besloten dat de voorgestelde maatregelen onmiddellijk moeten worden ingevoerd, omdat de toestand in de steden anders verder zou verslechteren. Veel bewoners waren het daar niet mee eens en wilden eerst meer onderzoek.",
+    "sv": "Regeringen meddelade i torsdags att den nya lagen ska börja gälla under hösten, trots att flera partier har uttryckt stark kritik mot förslaget. Många människor undrar hur det ska gå till och vem som ska betala för allt.",
+    "no": "Regjeringen sa torsdag at den nye loven skal tre i kraft til høsten, selv om flere partier har kommet med sterk kritikk av forslaget. Mange mennesker lurer på hvordan det skal gå og hvem som skal betale for alt.",
+    "it": "Il governo ha annunciato giovedì che la nuova legge entrerà in vigore in autunno, nonostante le critiche espresse da diversi partiti. Molte persone si chiedono come funzionerà e chi dovrà pagare per tutto questo.",
+    "pt": "O governo anunciou na quinta-feira que a nova lei entrará em vigor no outono, apesar das críticas feitas por vários partidos. Muitas pessoas perguntam como vai funcionar e quem terá de pagar por tudo isso.",
+}
+TABLES = Path("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_languages_beside_the_fitted_ones_are_none_of_them(spark):
+    profile = rd.language_profile(spark.read.parquet(str(TABLES)))
+    tell = lambda t: profile.language(rd.counted(rd.sentences(t)))
+    assert [tell(t) for t in FOREIGN.values()] == [None] * len(FOREIGN)
+    assert tell("We asked each of the annotators to read the text twice before they gave a score, and most of them did so without any trouble.") == "en"
+    assert tell("") is None
+
+
+def test_language_without_labels(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert rd.language_profile(empty).language(Counter(["the"])) is None
+
+
 def test_levels_of_hard_rows(spark):
     rows = [(1, None), (2, ""), (3, "...\n"), (None, EASY), (5, HARD * 2000), (6, "Das ist nicht gut und die Frage war auch viel zu laut für mich."), (7, EASY), (7, EASY)]
-    out = rd.reading_levels(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, grade string"))
+    labelled = [(i, t, lang) for i, (t, lang) in enumerate([(EASY, "en"), (HARD, "en"), ("Die Frage ist nicht gut. Das war mir zu laut und auch viel zu lang für die Kinder. " * 3, "de"), (None, "de"), ("x", "it")])]
+    profile = rd.language_profile(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    out = rd.reading_levels(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, grade string"), profile=profile)
     by = {}
     for r in out.collect():
         by.setdefault(r["doc_id"], []).append(r)
     assert len(by[7]) == 2 and by[1][0]["grade"] is by[2][0]["grade"] is by[3][0]["grade"] is None
-    assert by[6][0]["language"] == "de" and by[5][0]["grade"] > by[7][0]["grade"] + 10
+    assert by[6][0]["language"] == "de" and by[7][0]["language"] == "en" and by[5][0]["grade"] > by[7][0]["grade"] + 10
     assert rd.reading_levels(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     samples = spark.createDataFrame([(EASY, 1), (HARD * 2, 5), (None, 3), ("x", None)], "text string, grade int")
     cut = rd.demanding_from(samples)
