@@ -56,10 +56,13 @@ def record_digest(fields: pd.DataFrame) -> pd.Series:
     return pd.Series([hashlib.sha256(json.dumps(list(r), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest() for r in rows])
 
 
+# The literals taken for missing.
+PLACEHOLDERS = ("nan", "none", "null", "na", "n/a", "missing")
+
+
 def has_placeholder(text: Column) -> Column:
-    """A literal that stands for a missing text."""
-    # The literals taken for missing.
-    return F.lower(F.trim(text)).isin("na", "n/a", "nan", "null", "none", "missing", "-", "?", "unknown", "undefined")
+    """A literal that stands for a missing text, stripped and case-folded (the long s is the one letter that only folding makes an s)."""
+    return F.translate(F.lower(strip(text)), "\u017f", "s").isin(*PLACEHOLDERS)
 
 
 def has_replacement(text: Column) -> Column:

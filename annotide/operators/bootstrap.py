@@ -168,16 +168,50 @@ def twister_metrics(stats: DataFrame, replicates: int = REPLICATES, seed: int =
     return _metrics(sums.where("n > 0"))
 
 
-def hash_sample(stats: DataFrame, replicates: int, modulus: int = 1_000_003) -> DataFrame:
-    """replicate, group_id, times by arithmetic on an integer group id: about as often as a Poisson draw of mean 1.
+# Fixed value: a prime below 2 ** 31, so that a square fits 64 bits.
+PRIME = 2_147_483_647
+# The cumulative Poisson(1) probabilities of 0 to 8.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974020)
 
-    Each group decides for itself, so no list of groups is needed, and SQL can draw the same sample.
+
+def hash_times(groups: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """How often each integer group (rows) is drawn in each replicate (columns): a Poisson draw of mean 1 by a hash.
+
+    The hash mixes a linear form of both by three squarings modulo a prime, in 64-bit integers, so that SQL can draw the
+    same sample; each group decides for itself.
+    """
+    g, r = groups.astype(np.int64)[:, None] % PRIME, replicates.astype(np.int64)[None, :]
+    x = (g * 7919 + r * 104_729 + 12_345) % PRIME
+    x = (x * x + g * 31 + r) % PRIME
+    x = (x * x + g) % PRIME
+    x = (x * x + r) % PRIME
+    return np.searchsorted(np.array(POISSON), x / PRIME, "right")
+
+
+def hash_metrics(stats: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """experiment, replicate and its metrics over samples of ``hash_times``; ``stats`` has an integer group_id.
+
+    Each task adds its groups into one array of replicates by sums for each experiment; only those arrays are shuffled,
+    whose number is that of the tasks and not of the groups.
     """
-    u = F.pmod(F.col("group_id") * 7919 + F.col("replicate") * 104_729 + F.col("group_id") * F.col("replicate") * 31, F.lit(modulus)) / F.lit(float(modulus))
-    # The cumulative Poisson(1) probabilities.
-    times = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    pairs = stats.select("group_id").distinct().select("group_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    return pairs.select("replicate", "group_id", times.cast("long").alias("times")).where("times > 0")
+    names = [*CELLS, "n", "nll", "brier"]
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        every = np.arange(replicates)
+        for frame in frames:
+            for experiment, own in frame.groupby("experiment"):
+                total = sums.setdefault(experiment, np.zeros((replicates, len(names))))
+                values = own[names].to_numpy(float)
+                for i in range(0, len(own), 256):
+                    total += hash_times(own["group_id"].to_numpy()[i : i + 256], every).T @ values[i : i + 256]
+        for experiment, total in sums.items():
+            yield pd.DataFrame(total, columns=names).assign(experiment=experiment, replicate=every)[["experiment", "replicate", *names]]
+
+    facts = stats.select("experiment", F.col("group_id").cast("long").alias("group_id"), *(F.col(c).cast("double").alias(c) for c in names))
+    partial = facts.mapInPandas(add, "experiment string, replicate long, " + ", ".join(f"{c} double" for c in names))
+    sums = partial.groupBy("experiment", "replicate").agg(*(F.sum(c).cast("long").alias(c) for c in (*CELLS, "n")), F.sum("nll").alias("nll"), F.sum("brier").alias("brier"))
+    return _metrics(sums.where("n > 0"))
 
 
 def replicate_metrics(stats: DataFrame, sample: DataFrame) -> DataFrame:

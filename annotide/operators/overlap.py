@@ -22,15 +22,21 @@ SETTINGS = ("original", "whitespace_casefold")
 def inverted_index(rows: DataFrame) -> DataFrame:
     """setting, value, example_id, field, words of every text that isn't blank.
 
-    ``rows`` has example_id, source_row and the three texts. Under ``original`` the value is the text as it is, under
-    ``whitespace_casefold`` its normal form.
+    ``rows`` has example_id, source_row and the three texts. Under ``original`` the value stands for the text as it is,
+    under ``whitespace_casefold`` for its normal form: it is the text's SHA-256 (32 bytes), so that no text is shuffled.
     """
     long = rows.select("example_id", F.expr("stack(3, 'preceding', preceding, 'target', target, 'following', following) as (field, text)"))
     long = long.withColumn("normalized", tx.normal("text")).where("length(normalized) > 0")
-    pairs = F.array(F.struct(F.lit(SETTINGS[0]).alias("setting"), F.col("text").alias("value")), F.struct(F.lit(SETTINGS[1]).alias("setting"), F.col("normalized").alias("value")))
+    digest = lambda c: F.unhex(F.sha2(c, 256)).alias("value")
+    pairs = F.array(*(F.struct(F.lit(setting).alias("setting"), digest(c)) for setting, c in zip(SETTINGS, ("text", "normalized"), strict=True)))
     return long.select("example_id", "field", tx.word_count(F.col("normalized")).alias("words"), F.inline(pairs)).select("setting", "value", "example_id", "field", "words").distinct()
 
 
+def hexed(value: Column | str) -> Column:
+    """A value as hexadecimal digits."""
+    return F.lower(F.hex(value))
+
+
 def shared_values(index: DataFrame) -> DataFrame:
     """setting, value of every value that two or more examples hold; min and max are combined before the shuffle."""
     return index.groupBy("setting", "value").agg(F.min("example_id").alias("low"), F.max("example_id").alias("high")).where("low <> high").select("setting", "value", F.col("low").alias("first_id"))
@@ -48,7 +54,7 @@ def overlap_links(index: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     b = held.select("setting", "value", F.col("example_id").alias("example_id_2"), F.col("field").alias("field_2"))
     pairs = a.join(b, ["setting", "value"]).where("example_id_1 < example_id_2")
     return pairs.select(
-        F.col("setting").alias("comparison_setting"), "example_id_1", "field_1", "example_id_2", "field_2", F.sha2("value", 256).alias("normalized_text_sha256"), F.col("words").alias("word_count"),
+        F.col("setting").alias("comparison_setting"), "example_id_1", "field_1", "example_id_2", "field_2", hexed("value").alias("normalized_text_sha256"), F.col("words").alias("word_count"),
         link_type(F.col("field_1"), F.col("field_2"), F.col("setting"), F.col("words"), least).alias("link_type"),
     ).distinct()
 
@@ -56,7 +62,7 @@ def overlap_links(index: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def value_classes(index: DataFrame) -> DataFrame:
     """One row a place that shares its value: the value's class (hash and first example), linear in the input."""
     joined = index.join(shared_values(index), ["setting", "value"])
-    return joined.select("setting", F.sha2("value", 256).alias("class_id"), "first_id", "example_id", "field", "words")
+    return joined.select("setting", hexed("value").alias("class_id"), "first_id", "example_id", "field", "words")
 
 
 def rule_edges(index: DataFrame, rule: str, least: int = LEAST_WORDS) -> DataFrame:
@@ -132,14 +138,30 @@ def size_histogram(members: DataFrame) -> DataFrame:
     return members.groupBy("group_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
-def containment(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """check, n_violations: no group of ``inner`` may reach into two of ``outer``, and both must cover the same examples."""
-    i, o = inner.select("example_id", F.col("group_id").alias("g")), outer.select("example_id", F.col("group_id").alias("h"))
-    torn = i.join(o, "example_id").groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    missing = i.join(o, "example_id", "left_anti")
-    extra = o.join(i, "example_id", "left_anti")
-    row = lambda df, name: df.agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
-    return row(torn, "inner_group_within_one_outer_group").union(row(missing, "inner_example_missing_in_outer")).union(row(extra, "outer_example_missing_in_inner"))
+def _row(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
+
+
+def torn(places: DataFrame, members: DataFrame) -> DataFrame:
+    """Values of ``places`` (value, example_id) that two or more groups of ``members`` hold."""
+    held = places.join(members, "example_id").groupBy("value").agg(F.min("group_id").alias("a"), F.max("group_id").alias("b"))
+    return held.where("a <> b").select("value")
+
+
+def grouping_checks(rows: DataFrame, index: DataFrame, a: DataFrame, b: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """check, n_violations of the groupings by rule A and rule B: all examples are members, repeated targets and shared
+    texts of ``least`` words or more stay within a group, and no group of A reaches into two of B."""
+    normal = index.where(F.col("setting") == SETTINGS[1])
+    targets, long = normal.where("field = 'target'"), normal.where(F.col("words") >= least)
+    ids = rows.select("example_id").distinct()
+    out = None
+    for rule, members in (("a", a), ("b", b)):
+        lost = ids.join(members, "example_id", "left_anti").union(members.select("example_id").join(ids, "example_id", "left_anti"))
+        parts = ((lost, "members"), (torn(targets, members), "repeated_targets"), (torn(long, members), "long_texts"))
+        for violations, name in parts:
+            one = _row(violations, f"rule_{rule}_{name}")
+            out = one if out is None else out.union(one)
+    return out.union(_row(torn(a.select("example_id", F.col("group_id").alias("value")), b), "rule_a_within_rule_b"))
 
 
 def merges(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -164,19 +186,39 @@ def shared_rollup(index: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return values.join(affected, "setting").select("setting", "n_shared", "n_substantial", "n_examples", "n_target_elsewhere")
 
 
-def link_categories(links: DataFrame) -> DataFrame:
-    """Of each shared normalized value: which kinds of places it links."""
-    normal = links.where(F.col("comparison_setting") == SETTINGS[1])
-    flag = lambda kind, name: F.max(F.col("link_type").startswith(kind).cast("int")).alias(name)
-    return normal.groupBy("normalized_text_sha256").agg(F.max("word_count").alias("word_count"), F.count("*").alias("n_links"), flag("target_target", "has_target_target"), flag("target_context", "has_target_context"), flag("context_context", "has_context_context"))
+def link_categories(index: DataFrame) -> DataFrame:
+    """Of each shared normalized value: its number of links, and which kinds of places they join.
+
+    Links are counted from the places that a value has in each example, so nothing is paired: links of a kind are all
+    pairs of such places less those within one example.
+    """
+    own = index.where(F.col("setting") == SETTINGS[1]).groupBy("value", "example_id").agg(
+        F.count_if(F.col("field") == "target").alias("t"), F.count_if(F.col("field") != "target").alias("c"), F.max("words").alias("words")
+    )
+    t, c = F.col("t"), F.col("c")
+    sums = own.groupBy("value").agg(
+        F.max("words").alias("word_count"), F.count("*").alias("n"), F.sum(t).alias("st"), F.sum(c).alias("sc"),
+        F.sum(t * t).alias("tt"), F.sum(c * c).alias("cc"), F.sum(t * c).alias("tc"),
+    ).where("n > 1")
+    pairs = {k: (F.col(f"s{k}") * F.col(f"s{k}") - F.col(k * 2)) / 2 for k in ("t", "c")}
+    mixed = F.col("st") * F.col("sc") - F.col("tc")
+    flag = lambda x, name: (x > 0).cast("int").alias(name)
+    return sums.select(
+        hexed("value").alias("normalized_text_sha256"), "word_count", (pairs["t"] + pairs["c"] + mixed).cast("long").alias("n_links"),
+        flag(pairs["t"], "has_target_target"), flag(mixed, "has_target_context"), flag(pairs["c"], "has_context_context"),
+    )
 
 
-def review_shortlist(categories: DataFrame, per_stratum: int = 1, short: int = 4, least: int = LEAST_WORDS) -> DataFrame:
-    """A few values for a person to look at: the first by hash in each stratum, and the longest of the short ones."""
+def review_shortlist(categories: DataFrame, merging: DataFrame, per_stratum: int = 1, short: int = 4, least: int = LEAST_WORDS) -> DataFrame:
+    """A few values for a person to look at: the first by hash in each stratum, and the longest of the short ones.
+
+    Of the short ones only those in ``merging`` count, which join two groups of rule A.
+    """
     stratum = F.concat_ws("+", F.when(F.col("has_target_target") == 1, "tt"), F.when(F.col("has_target_context") == 1, "tc"), F.when(F.col("has_context_context") == 1, "cc"))
     long = categories.where(F.col("word_count") >= least).withColumn("stratum", stratum)
     first = long.withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy("normalized_text_sha256"))).where(F.col("k") <= per_stratum)
-    few = categories.where(F.col("word_count") < least).orderBy(F.desc("word_count"), "normalized_text_sha256").limit(short).withColumn("stratum", F.lit("short"))
+    few = categories.join(merging.select("normalized_text_sha256"), "normalized_text_sha256", "left_semi")
+    few = few.orderBy(F.desc("word_count"), "normalized_text_sha256").limit(short).withColumn("stratum", F.lit("short"))
     columns = ["stratum", "normalized_text_sha256", "word_count", "n_links"]
     return first.select(columns).union(few.select(columns))
 
@@ -202,7 +244,7 @@ def leakage(index: DataFrame, splits: DataFrame) -> DataFrame:
     """Normalized values that stand in more than one partition: hash, words, partitions and examples."""
     values = index.where(F.col("setting") == SETTINGS[1]).join(splits.select("example_id", "partition").distinct(), "example_id")
     per = values.groupBy("value", "partition").agg(F.countDistinct("example_id").alias("n"), F.max("words").alias("words"))
-    return per.groupBy("value").agg(F.count("*").alias("n_partitions"), F.sum("n").alias("n_examples"), F.max("words").alias("words")).where("n_partitions > 1").select(F.sha2("value", 256).alias("value_sha256"), "words", "n_partitions", "n_examples")
+    return per.groupBy("value").agg(F.count("*").alias("n_partitions"), F.sum("n").alias("n_examples"), F.max("words").alias("words")).where("n_partitions > 1").select(hexed("value").alias("value_sha256"), "words", "n_partitions", "n_examples")
 
 
 def repeated_targets(rows: DataFrame) -> DataFrame:
@@ -220,7 +262,25 @@ def repeated_triplets(rows: DataFrame, normalized: bool = True) -> DataFrame:
 
 
 def short_merges(index: DataFrame, inner: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Shared values below ``least`` words that join two or more groups of ``inner``: by number of words, how many, and the places they hold."""
+    """Shared values below ``least`` words that join two or more groups of ``inner``: hash, words, examples, and groups joined."""
     short = index.where((F.col("setting") == SETTINGS[1]) & (F.col("words") < least)).join(inner, "example_id")
-    per = short.groupBy("value", "words").agg(F.min("group_id").alias("a"), F.max("group_id").alias("b"), F.count("*").alias("n")).where("a <> b")
-    return per.groupBy("words").agg(F.count("*").alias("n_strings"), F.sum("n").alias("n_places"))
+    per = short.groupBy("value", "words", "group_id", "example_id").agg(F.lit(1).alias("one")).groupBy("value", "words", "group_id").agg(F.count("*").alias("n"))
+    per = per.groupBy("value", "words").agg(F.sum("n").alias("n_examples"), F.count("*").alias("n_groups")).where("n_groups > 1")
+    return per.select(hexed("value").alias("normalized_text_sha256"), "words", "n_examples", "n_groups")
+
+
+def rule_comparison(index: DataFrame, five: DataFrame, a: DataFrame, b: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """measure, n: what rule B merges beyond rule A, the short texts behind it, and what repeated targets add to long texts alone."""
+    merged = merges(a, b)
+    short = short_merges(index, a, least)
+    targets = index.where((F.col("setting") == SETTINGS[1]) & (F.col("field") == "target")).select("value", "example_id").join(five, "example_id")
+    per = targets.groupBy("value", "group_id").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n"))
+    joining = per.where("n_groups > 1")
+    affected = targets.join(joining.select("value"), "value", "left_semi").select("example_id").distinct()
+    row = lambda df, name, value: df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("measure"), "n")
+    every = F.count(F.lit(1))
+    return (
+        row(merged, "rule_b_groups_that_merge", every).union(row(merged, "examples_in_them", F.sum("size")))
+        .union(row(short, "short_texts_that_merge", every)).union(row(joining, "repeated_targets_that_merge", every))
+        .union(row(joining, "five_word_groups_merged", F.sum(F.col("n_groups") - 1))).union(row(affected, "examples_of_repeated_targets", every))
+    )

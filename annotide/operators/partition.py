@@ -54,14 +54,18 @@ def objective(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.agg(F.sum(part("examples") + part("positive") + part("other")).alias("objective"))
 
 
-def balance_checks(diagnosed: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """check, passed: each kind's deviation within ``tolerance`` of the whole, and no partition without positives."""
+def balance_checks(diagnosed: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """check, passed: each partition's share of the examples and its rate of positives within tolerance, and both classes in it."""
     from pyspark.sql.window import Window
 
-    whole = Window.partitionBy(F.lit(1))
-    rows = diagnosed.select("partition", *(F.struct(F.concat(F.col("partition"), F.lit(f"_{k}")).alias("check"), (F.abs(f"deviation_{k}") <= tolerance * F.sum(k).over(whole)).alias("passed")).alias(k) for k in KINDS), (F.col("positive") > 0).alias("has"))
-    near = rows.select(F.inline(F.array(*KINDS)))
-    return near.union(rows.select(F.concat("partition", F.lit("_has_positive")), "has"))
+    whole = Window.partitionBy(F.lit(1))  # a row a partition
+    rate = F.sum("positive").over(whole) / F.sum("examples").over(whole)
+    near = F.abs(F.col("examples") / F.sum("examples").over(whole) - share_of(F.col("partition"), shares)) <= EXAMPLE_TOLERANCE + 1e-12
+    level = F.abs(F.col("positive") / F.col("examples") - rate) <= RATE_TOLERANCE + 1e-12
+    both = (F.col("positive") > 0) & (F.col("other") > 0)
+    named = lambda kind, passed: F.struct(F.concat("partition", F.lit(f"_{kind}")).alias("check"), passed.alias("passed")).alias(kind)
+    rows = diagnosed.select(named("fraction", near), named("rate", level), named("classes", both))
+    return rows.select(F.inline(F.array("fraction", "rate", "classes")))
 
 
 def _candidate(groups: list[tuple[str, int, int, int]], totals: tuple[int, int, int], seed: int, shares: dict[str, float]) -> tuple[list[list[int]], list[str]]:

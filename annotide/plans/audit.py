@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annotide.operators import audit, labels, overlap
 from annotide.operators import tokens as tk
-from annotide.plans.common import ROWS, audited, sql_collapse
+from annotide.plans.common import ROWS, audited, sql_collapse, sql_strip
 from annotide.storage import table
 
 
@@ -126,11 +126,12 @@ _SOFT = """SELECT source_row, example_id, n1 AS positive_vote_count, hard AS har
   round(n0 / 3::DOUBLE, 12) AS fraction_zero, round(n1 / 3::DOUBLE, 12) AS fraction_one, agreement AS agreement_category, nm > 0 AS has_minus1 FROM r WHERE ok"""
 _WEIGHTS = "SELECT count(*) AS n, round(count(*) / (2::DOUBLE * nullif(count(*) FILTER (WHERE hard = 0), 0)), 9) AS weight_other, round(count(*) / (2::DOUBLE * nullif(count(*) FILTER (WHERE hard = 1), 0)), 9) AS weight_positive FROM r WHERE eligible AND hard IS NOT NULL"
 _CONTEXT = f"list_filter([{sql_collapse('preceding')}, {sql_collapse('target')}, {sql_collapse('following')}], lambda x: x <> '')"
-_PLACEHOLDERS = "'na', 'n/a', 'nan', 'null', 'none', 'missing', '-', '?', 'unknown', 'undefined'"
+# The literals taken for missing.
+_PLACEHOLDERS = "'nan', 'none', 'null', 'na', 'n/a', 'missing'"
 _QUALITY = " UNION ALL ".join(
-    f"SELECT '{kind}' AS category, '{f}' AS field, count(*) FILTER (WHERE {test.format(f=f)}) AS n_rows FROM autalic"
+    f"SELECT '{kind}' AS category, '{f}' AS field, count(*) FILTER (WHERE {test.replace('{f}', f)}) AS n_rows FROM autalic"
     for f in ("preceding", "target", "following")
-    for kind, test in (("placeholder", f"lower(trim({{f}})) IN ({_PLACEHOLDERS})"), ("replacement_character", "contains({f}, chr(65533))"), ("control_character", r"regexp_matches({f}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')"))
+    for kind, test in (("placeholder", f"replace(lower({sql_strip('{f}')}), chr(383), 's') IN ({_PLACEHOLDERS})"), ("replacement_character", "contains({f}, chr(65533))"), ("control_character", r"regexp_matches({f}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')"))
 )
 SQL = {
     "vote_summary": f"WITH {ROWS}, long AS ({_LONG.format(c='eligible')}), domain AS (SELECT * FROM (VALUES ('raw'), ('eligible'), ('excluded')) s(scope), (VALUES ('all'), ('A1_Score'), ('A2_Score'), ('A3_Score')) a(annotator), (VALUES (-1), (0), (1)) v(label)) "

@@ -20,8 +20,14 @@ def _index(spark: SparkSession, sf: str, scratch: Scratch | None = None) -> Data
     return (scratch or Scratch(spark, "overlap")).write(found, "index")
 
 
+def _written(rows: DataFrame, index: DataFrame, *rules: str) -> list[DataFrame]:
+    """The groupings by some rules, written, as comparisons read them several times."""
+    scratch = Scratch(rows.sparkSession, "groupings")
+    return [scratch.write(overlap.groups(rows, index, rule), rule) for rule in rules]
+
+
 def overlap_index(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.inverted_index(_eligible(spark, sf)).select("setting", F.sha2("value", 256).alias("value_sha256"), "example_id", "field", "words")
+    return overlap.inverted_index(_eligible(spark, sf)).select("setting", overlap.hexed("value").alias("value_sha256"), "example_id", "field", "words")
 
 
 def overlap_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,12 +64,17 @@ def group_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_containment(spark: SparkSession, sf: str) -> DataFrame:
     rows, index = _eligible(spark, sf), _index(spark, sf)
-    return overlap.containment(overlap.groups(rows, index, "a"), overlap.groups(rows, index, "b"))
+    return overlap.grouping_checks(rows, index, *_written(rows, index, "a", "b"))
 
 
 def rule_merges(spark: SparkSession, sf: str) -> DataFrame:
     rows, index = _eligible(spark, sf), _index(spark, sf)
-    return overlap.merges(overlap.groups(rows, index, "five"), overlap.groups(rows, index, "b")).select("n_merged", "size")
+    return overlap.merges(*_written(rows, index, "a", "b")).select("n_merged", "size")
+
+
+def rule_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    rows, index = _eligible(spark, sf), _index(spark, sf)
+    return overlap.rule_comparison(index, *_written(rows, index, "five", "a", "b"))
 
 
 def group_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,18 +83,20 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.link_categories(overlap_links(spark, sf))
+    return overlap.link_categories(overlap.inverted_index(_eligible(spark, sf)))
 
 
 def review_shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.review_shortlist(link_categories(spark, sf))
+    rows, index = _eligible(spark, sf), _index(spark, sf)
+    merging = overlap.short_merges(index, overlap.groups(rows, index, "a"))
+    return overlap.review_shortlist(overlap.link_categories(index), merging)
 
 
 def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.leakage(overlap.inverted_index(_eligible(spark, sf)), table(spark, sf, "split_manifest"))
 
 
-QUERIES = {f.__name__: f for f in (overlap_index, overlap_links, overlap_classes, shared_string_rollup, group_stats, group_sizes, rule_containment, rule_merges, group_summary, link_categories, review_shortlist, leakage_check)} | {
+QUERIES = {f.__name__: f for f in (overlap_index, overlap_links, overlap_classes, shared_string_rollup, group_stats, group_sizes, rule_containment, rule_merges, rule_comparison, group_summary, link_categories, review_shortlist, leakage_check)} | {
     f"components_rule_{rule}": _groups(rule) for rule in ("five", "a", "b")
 }
 
@@ -126,16 +139,32 @@ SQL = {
 SELECT setting, (SELECT count(*) FROM s WHERE s.setting = h.setting) AS n_shared, (SELECT count(*) FROM s WHERE s.setting = h.setting AND words >= 5) AS n_substantial, count(DISTINCT example_id) AS n_examples,
  count(DISTINCT example_id) FILTER (WHERE field = 'target' AND EXISTS (SELECT 1 FROM h o WHERE o.setting = h.setting AND o.value = h.value AND o.field <> 'target' AND o.example_id <> h.example_id)) AS n_target_elsewhere FROM h GROUP BY setting""",
     "link_categories": f"WITH {_CATEGORIES} SELECT * FROM cat",
-    "review_shortlist": f"""WITH {_CATEGORIES}, st AS (SELECT *, concat_ws('+', CASE WHEN has_target_target = 1 THEN 'tt' END, CASE WHEN has_target_context = 1 THEN 'tc' END, CASE WHEN has_context_context = 1 THEN 'cc' END) AS stratum FROM cat)
+    "review_shortlist": f"""WITH {_sql_groups(('a',))}, {_CATEGORIES.removeprefix(_INDEX).lstrip(', ')},
+st AS (SELECT *, concat_ws('+', CASE WHEN has_target_target = 1 THEN 'tt' END, CASE WHEN has_target_context = 1 THEN 'tc' END, CASE WHEN has_context_context = 1 THEN 'cc' END) AS stratum FROM cat),
+short AS (SELECT sha256(value) AS h FROM idx JOIN g_a USING (example_id) WHERE setting = 'whitespace_casefold' AND words < 5 GROUP BY value HAVING count(DISTINCT group_id) > 1)
 SELECT stratum, normalized_text_sha256, word_count, n_links FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY normalized_text_sha256) AS k FROM st WHERE word_count >= 5) WHERE k <= 1
-UNION ALL SELECT * FROM (SELECT 'short', normalized_text_sha256, word_count, n_links FROM cat WHERE word_count < 5 ORDER BY word_count DESC, normalized_text_sha256 LIMIT 4)""",
+UNION ALL SELECT * FROM (SELECT 'short', normalized_text_sha256, word_count, n_links FROM cat WHERE normalized_text_sha256 IN (SELECT h FROM short) ORDER BY word_count DESC, normalized_text_sha256 LIMIT 4)""",
     "leakage_check": f"""WITH {_INDEX}, m AS (SELECT DISTINCT example_id, "partition" AS part FROM split_manifest) SELECT sha256(value) AS value_sha256, max(words) AS words, count(DISTINCT part) AS n_partitions, count(DISTINCT example_id) AS n_examples
 FROM idx JOIN m USING (example_id) WHERE setting = 'whitespace_casefold' GROUP BY value HAVING count(DISTINCT part) > 1""",
     "group_stats": f"WITH {_sql_groups(('five', 'a', 'b'))} " + " UNION ALL ".join(map(_sql_stats, ("five", "a", "b"))),
     "group_sizes": f"WITH {_sql_groups(('b',))} SELECT size, count(*) AS n_groups FROM (SELECT group_id, count(*) AS size FROM g_b GROUP BY 1) GROUP BY size",
-    "rule_containment": f"""WITH {_sql_groups(('a', 'b'))} SELECT 'inner_group_within_one_outer_group' AS check, (SELECT count(*) FROM (SELECT a.group_id FROM g_a a JOIN g_b b USING (example_id) GROUP BY 1 HAVING count(DISTINCT b.group_id) > 1)) AS n_violations
-UNION ALL SELECT 'inner_example_missing_in_outer', (SELECT count(*) FROM g_a WHERE example_id NOT IN (SELECT example_id FROM g_b)) UNION ALL SELECT 'outer_example_missing_in_inner', (SELECT count(*) FROM g_b WHERE example_id NOT IN (SELECT example_id FROM g_a))""",
-    "rule_merges": f"WITH {_sql_groups(('five', 'b'))} SELECT count(DISTINCT f.group_id) AS n_merged, count(*) AS size FROM g_b b JOIN g_five f USING (example_id) GROUP BY b.group_id HAVING count(DISTINCT f.group_id) > 1",
+    "rule_containment": f"""WITH {_sql_groups(('a', 'b'))}, norm AS (SELECT * FROM idx WHERE setting = 'whitespace_casefold')
+""" + "UNION ALL ".join(
+        f"""SELECT 'rule_{k}_members' AS check, (SELECT count(*) FROM (SELECT example_id FROM e EXCEPT SELECT example_id FROM g_{k})) + (SELECT count(*) FROM (SELECT example_id FROM g_{k} EXCEPT SELECT example_id FROM e)) AS n_violations
+UNION ALL SELECT 'rule_{k}_repeated_targets', (SELECT count(*) FROM (SELECT value FROM norm JOIN g_{k} USING (example_id) WHERE field = 'target' GROUP BY 1 HAVING count(DISTINCT group_id) > 1))
+UNION ALL SELECT 'rule_{k}_long_texts', (SELECT count(*) FROM (SELECT value FROM norm JOIN g_{k} USING (example_id) WHERE words >= 5 GROUP BY 1 HAVING count(DISTINCT group_id) > 1))
+"""
+        for k in ("a", "b")
+    ) + "UNION ALL SELECT 'rule_a_within_rule_b', (SELECT count(*) FROM (SELECT a.group_id FROM g_a a JOIN g_b b USING (example_id) GROUP BY 1 HAVING count(DISTINCT b.group_id) > 1))",
+    "rule_merges": f"WITH {_sql_groups(('a', 'b'))} SELECT count(DISTINCT a.group_id) AS n_merged, count(*) AS size FROM g_b b JOIN g_a a USING (example_id) GROUP BY b.group_id HAVING count(DISTINCT a.group_id) > 1",
+    "rule_comparison": f"""WITH {_sql_groups(('five', 'a', 'b'))}, norm AS (SELECT * FROM idx WHERE setting = 'whitespace_casefold'),
+m AS (SELECT b.group_id, count(*) AS size FROM g_b b JOIN g_a a USING (example_id) GROUP BY 1 HAVING count(DISTINCT a.group_id) > 1),
+short AS (SELECT value FROM norm JOIN g_a USING (example_id) WHERE words < 5 GROUP BY 1 HAVING count(DISTINCT group_id) > 1),
+rep AS (SELECT value, count(DISTINCT group_id) AS n_groups FROM norm JOIN g_five USING (example_id) WHERE field = 'target' GROUP BY 1 HAVING count(DISTINCT group_id) > 1)
+SELECT 'rule_b_groups_that_merge' AS measure, (SELECT count(*) FROM m) AS n UNION ALL SELECT 'examples_in_them', (SELECT coalesce(sum(size), 0)::BIGINT FROM m)
+UNION ALL SELECT 'short_texts_that_merge', (SELECT count(*) FROM short) UNION ALL SELECT 'repeated_targets_that_merge', (SELECT count(*) FROM rep)
+UNION ALL SELECT 'five_word_groups_merged', (SELECT coalesce(sum(n_groups - 1), 0)::BIGINT FROM rep)
+UNION ALL SELECT 'examples_of_repeated_targets', (SELECT count(DISTINCT example_id) FROM norm JOIN rep USING (value) WHERE field = 'target')""",
     "group_summary": f"""WITH {_sql_groups(('b',))} SELECT 'b' AS rule, group_id, count(*) AS size, count(*) FILTER (WHERE hard = 1) AS positive, count(*) FILTER (WHERE hard = 0) AS other, sum(nm)::BIGINT AS votes_minus1, sum(n0)::BIGINT AS votes_zero, sum(n1)::BIGINT AS votes_one,
  count(*) FILTER (WHERE agreement = 'unanimous') AS unanimous, count(*) FILTER (WHERE agreement = 'two-versus-one') AS two_versus_one, count(*) FILTER (WHERE agreement = 'all-different') AS all_different FROM g_b JOIN e USING (example_id) WHERE ok GROUP BY group_id""",
 } | {f"components_rule_{k}": f"WITH {_sql_groups((k,))} SELECT example_id, group_id FROM g_{k}" for k in ("five", "a", "b")}

@@ -37,7 +37,7 @@ def allocation_objective(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def balance_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return pt.balance_checks(pt.diagnostics(_assigned(spark, sf)), 0.01)
+    return pt.balance_checks(pt.diagnostics(_assigned(spark, sf)))
 
 
 def greedy_allocation(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +62,8 @@ SQL = {
     "partition_diagnostics": f"""WITH {_RECORDS} SELECT part AS "partition", groups, examples, positive, other, round(te, 6) AS target_examples, round(tp, 6) AS target_positive, round(tt, 6) AS target_other,
  round(examples - te, 6) AS deviation_examples, round(positive - tp, 6) AS deviation_positive, round(other - tt, 6) AS deviation_other FROM tot""",
     "allocation_objective": f"WITH {_RECORDS} SELECT round(sum((examples - te) ** 2 / greatest(te, 1) + (positive - tp) ** 2 / greatest(tp, 1) + (other - tt) ** 2 / greatest(tt, 1)), 6) AS objective FROM tot",
-    "balance_checks": f"""WITH {_RECORDS} SELECT part || '_examples' AS check, abs(examples - te) <= 0.01::DOUBLE * ae AS passed FROM tot UNION ALL SELECT part || '_positive', abs(positive - tp) <= 0.01::DOUBLE * ap FROM tot
- UNION ALL SELECT part || '_other', abs(other - tt) <= 0.01::DOUBLE * ao FROM tot UNION ALL SELECT part || '_has_positive', positive > 0 FROM tot""",
+    "balance_checks": f"""WITH {_RECORDS}
+SELECT part || '_fraction' AS check, abs(examples / ae - share) <= 0.02::DOUBLE + 1e-12::DOUBLE AS passed FROM tot
+UNION ALL SELECT part || '_rate', abs(positive / examples - ap / ae) <= 0.03::DOUBLE + 1e-12::DOUBLE FROM tot
+UNION ALL SELECT part || '_classes', positive > 0 AND other > 0 FROM tot""",
 }

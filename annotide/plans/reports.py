@@ -23,7 +23,7 @@ def partition_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def short_merges(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
-    return overlap.short_merges(index, overlap.groups(audited(spark, sf).where("eligible"), index, "five"))
+    return overlap.short_merges(index, overlap.groups(audited(spark, sf).where("eligible"), index, "a"))
 
 
 def flattened_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,8 @@ UNION ALL SELECT 'outer_split_fits', (SELECT count(*) FROM split_manifest WHERE
 UNION ALL SELECT 'rows_of_the_source', (SELECT count(DISTINCT source_row) FROM split_manifest WHERE source_row NOT IN (SELECT source_row FROM autalic))
 UNION ALL SELECT 'target_for_each_row', (SELECT count(DISTINCT source_row) FROM split_manifest WHERE source_row NOT IN (SELECT source_row FROM targets))
 UNION ALL SELECT 'no_text_in_two_partitions', (SELECT count(*) FROM leaks)) SELECT "check", n_violations, n_violations = 0 AS passed FROM v""",
-    "short_merges": f"""WITH {_sql_groups(('five',))} SELECT words, count(*) AS n_strings, sum(n)::BIGINT AS n_places FROM (SELECT value, words, count(*) AS n FROM idx JOIN g_five USING (example_id) WHERE setting = 'whitespace_casefold' AND words < 5 GROUP BY 1, 2 HAVING count(DISTINCT group_id) > 1) GROUP BY words""",
+    "short_merges": f"""WITH {_sql_groups(('a',))} SELECT sha256(value) AS normalized_text_sha256, words, count(DISTINCT example_id) AS n_examples, count(DISTINCT group_id) AS n_groups
+FROM idx JOIN g_a USING (example_id) WHERE setting = 'whitespace_casefold' AND words < 5 GROUP BY value, words HAVING count(DISTINCT group_id) > 1""",
     "flattened_confusion": f"WITH {SCORES}, c AS (SELECT experiment, {_CELLS} FROM f GROUP BY 1) SELECT experiment, '[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]' AS confusion_matrix FROM c",
     "calibration_effect": f"WITH {SCORES}, h AS (SELECT experiment, y, 1 / (1 + exp(-(l1 - l0) / {TEMPERATURE}::DOUBLE)) AS p FROM f), {_STATE('f', 'a')}, {_STATE('h', 'b')} SELECT a.experiment, a.metric, round(a.value, 6) AS uncalibrated, round(b.value, 6) AS calibrated, round(b.value - a.value, 6) AS difference FROM a JOIN b ON a.experiment = b.experiment AND a.metric = b.metric",
 }

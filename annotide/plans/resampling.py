@@ -11,22 +11,18 @@ from annotide.plans.common import SCORES, scores
 from annotide.plans.metrics import _quotients
 from annotide.storage import Scratch
 
-REPLICATES = 200
-
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
     return Scratch(spark, "bootstrap").write(bs.group_statistics(scores(spark, sf)), "stats")
 
 
 def bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Intervals over replicates drawn by integer arithmetic."""
-    stats = _stats(spark, sf)
-    return rounded(bs.intervals(bs.replicate_metrics(stats, bs.hash_sample(stats, REPLICATES))), (), 6)
+    """Intervals over replicates drawn by a hash."""
+    return rounded(bs.intervals(bs.hash_metrics(_stats(spark, sf))), (), 6)
 
 
 def bootstrap_replicates(spark: SparkSession, sf: str) -> DataFrame:
-    stats = _stats(spark, sf)
-    return rounded(bs.replicate_metrics(stats, bs.hash_sample(stats, REPLICATES)), (), 6)
+    return rounded(bs.hash_metrics(_stats(spark, sf)), (), 6)
 
 
 def bootstrap_mt19937(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,15 +42,18 @@ QUERIES = {f.__name__: f for f in (bootstrap_hash, bootstrap_replicates, bootstr
 
 _STATS = """st AS (SELECT experiment, group_id, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) AS n,
  sum(-(y * ln(least(greatest(p, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE)) + (1 - y) * ln(1 - least(greatest(p, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE)))) AS nll, sum((p - y) ** 2) AS brier FROM f WHERE group_id IS NOT NULL GROUP BY 1, 2)"""
-_VALUES = f"""{_STATS}, u AS (SELECT group_id, r AS replicate, ((group_id * 7919 + r * 104729 + group_id * r * 31) % 1000003) / 1000003::DOUBLE AS u FROM (SELECT DISTINCT group_id FROM st), range({REPLICATES}) x(r)),
-s AS (SELECT *, CASE WHEN u < 0.36787944117144233::DOUBLE THEN 0 WHEN u < 0.7357588823428847::DOUBLE THEN 1 WHEN u < 0.9196986029286058::DOUBLE THEN 2 WHEN u < 0.9810118431238462::DOUBLE THEN 3 WHEN u < 0.9963401531726563::DOUBLE THEN 4 ELSE 5 END AS k FROM u),
+_P = bs.PRIME
+_VALUES = f"""{_STATS}, u0 AS (SELECT group_id, group_id % {_P} AS g, r FROM (SELECT DISTINCT group_id::BIGINT AS group_id FROM st), range({bs.REPLICATES}) x(r)),
+u1 AS (SELECT *, (g * 7919 + r * 104729 + 12345) % {_P} AS x FROM u0), u2 AS (SELECT group_id, g, r, (x * x + g * 31 + r) % {_P} AS x FROM u1), u3 AS (SELECT group_id, g, r, (x * x + g) % {_P} AS x FROM u2),
+u AS (SELECT group_id, r AS replicate, ((x * x + r) % {_P}) / {_P}::DOUBLE AS u FROM u3),
+s AS (SELECT *, {" + ".join(f"(u >= {q}::DOUBLE)::INT" for q in bs.POISSON)} AS k FROM u),
 c AS (SELECT experiment, replicate, sum(tn * k) AS tn, sum(fp * k) AS fp, sum(fn * k) AS fn, sum(tp * k) AS tp, sum(nll * k) / sum(n * k) AS nll, sum(brier * k) / sum(n * k) AS brier FROM s JOIN st USING (group_id) WHERE k > 0 GROUP BY 1, 2),
 {_quotients('0', 'experiment, replicate')},
 v AS (SELECT c.experiment, c.replicate, c.nll, c.brier, CASE WHEN ok THEN macro_f1 END AS macro_f1, CASE WHEN ok THEN f1_1 END AS f1_1, CASE WHEN ok THEN recall_1 END AS recall_1, CASE WHEN ok THEN balanced_accuracy END AS balanced_accuracy
  FROM (SELECT *, tp + fn > 0 AND tn + fp > 0 AS ok FROM c) c JOIN m ON m.experiment = c.experiment AND m.replicate = c.replicate)"""
 _NAMES = ("nll", "brier", "macro_f1", "f1_1", "recall_1", "balanced_accuracy")
 SQL = {
-    "bootstrap_replicates": f"WITH {SCORES}, {_VALUES} SELECT experiment, replicate::INT AS replicate, " + ", ".join(f"round({n}, 6) AS {n}" for n in _NAMES) + " FROM v",
+    "bootstrap_replicates": f"WITH {SCORES}, {_VALUES} SELECT experiment, replicate, " + ", ".join(f"round({n}, 6) AS {n}" for n in _NAMES) + " FROM v",
     "bootstrap_hash": f"WITH {SCORES}, {_VALUES} "
     + " UNION ALL ".join(f"SELECT experiment, '{n}' AS metric, round(quantile_cont({n}, 0.025), 6) AS low, round(quantile_cont({n}, 0.975), 6) AS high, count({n}) AS n_valid, count(*) - count({n}) AS n_unavailable FROM v GROUP BY 1" for n in _NAMES),
     "bootstrap_clusters": f"WITH {SCORES}, {_STATS} SELECT experiment, count(*) AS n_groups, sum(n)::BIGINT AS n_rows, round(sum(brier), 4) AS brier_sum FROM st GROUP BY 1",

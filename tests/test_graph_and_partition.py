@@ -55,7 +55,9 @@ def test_rules_and_links(spark):
     assert kinds["whitespace_casefold", "e1", "e2"] == "target_target_short_or_unthresholded"
     assert kinds["whitespace_casefold", "e3", "e5"] == "target_context_substantial"
     assert kinds["original", "e3", "e4"] == "context_context_short_or_unthresholded" and ("original", "e1", "e2") not in kinds
-    assert all(r["n_violations"] == 0 for r in overlap.containment(overlap.groups(rows, index, "a"), overlap.groups(rows, index, "b")).collect())
+    assert all(r["n_violations"] == 0 for r in overlap.grouping_checks(rows, index, overlap.groups(rows, index, "a"), overlap.groups(rows, index, "b")).collect())
+    swapped = overlap.grouping_checks(rows, index, overlap.groups(rows, index, "b"), overlap.groups(rows, index, "five").where("example_id <> 'x'"))
+    assert {r["check"] for r in swapped.collect()} == {f"rule_{k}_{c}" for k in "ab" for c in ("members", "repeated_targets", "long_texts")} | {"rule_a_within_rule_b"}
     assert {(r["n_merged"], r["size"]) for r in overlap.merges(overlap.groups(rows, index, "five"), overlap.groups(rows, index, "b")).collect()} == {(2, 2), (2, 3)}
 
 

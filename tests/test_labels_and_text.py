@@ -1,4 +1,4 @@
-import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,30 +22,45 @@ def test_whitespace_is_python_whitespace(spark):
         assert r["f"] == " ".join((t or "").split()).casefold()
 
 
-def test_votes_agreement_and_targets_of_all_triples(spark):
-    triples = list(itertools.product((-1, 0, 1), repeat=3))
-    df = labels.derive(rows(spark, [("p", "t", "f", *(f" {v}\n" for v in t)) for t in triples]))
-    out = {r["source_row"]: r for r in labels.soft_targets(df).collect()}
-    for i, t in enumerate(triples):
-        r = out[i + 1]
-        assert r["hard_label"] == int(t.count(1) >= 2)
-        assert r["soft_positive"] == pytest.approx(t.count(1) / 3)
-        assert r["agreement_category"] == {1: "unanimous", 2: "two-versus-one", 3: "all-different"}[len(set(t))]
-        assert r["has_minus1"] == (-1 in t)
-        assert r["fraction_minus1"] + r["fraction_zero"] + r["fraction_one"] == pytest.approx(1, abs=1e-9)
+def test_derived_labels_follow_the_counts_of_random_votes(spark):
+    draw = random.Random(11)
+    pads = ("", " ", "\t", "\u2003", "\n ")
+    votes = [[draw.choice((-1, 0, 1)) for _ in range(3)] for _ in range(200)]
+    df = labels.derive(rows(spark, [("", "words", "", *(f"{draw.choice(pads)}{v}{draw.choice(pads)}" for v in three)) for three in votes]))
+    derived = {r["source_row"]: r for r in labels.soft_targets(df).collect()}
+    assert len(derived) == len(votes)
+    for number, three in enumerate(votes, 1):
+        ones, zeros, minus = (sum(v == wanted for v in three) for wanted in (1, 0, -1))
+        r = derived[number]
+        assert (r["hard_label"], r["has_minus1"], r["positive_vote_count"]) == (ones > 1, minus > 0, ones)
+        assert [round(3 * r[c]) for c in ("fraction_minus1", "fraction_zero", "fraction_one", "soft_positive", "soft_other")] == [minus, zeros, ones, ones, 3 - ones]
+        kinds = (ones > 0) + (zeros > 0) + (minus > 0)
+        assert (r["agreement_category"] == "unanimous", r["agreement_category"] == "two-versus-one") == (kinds == 1, kinds == 2)
+
+
+@pytest.mark.parametrize("vote", ["+1", "\u0661", "1e0", "-0", "--1", "1;0", "one", "\ufeff0", None])
+def test_what_only_looks_like_a_vote_is_none(spark, vote):
+    df = rows(spark, [("", "w", "", "1", vote, "1"), ("", "w", "", "1", "\u20030\u2003", "1")])
+    assert [r["source_row"] for r in labels.vote_violations(df).collect()] == [1]
+    assert [r["hard_label"] for r in labels.derive(df).orderBy("source_row").collect()] == [None, 1]
 
 
-@pytest.mark.parametrize("bad", ["", "2", "0.0", "unknown", None])
-def test_invalid_votes_are_found(spark, bad):
-    df = rows(spark, [("p", "t", "f", "0", "1", bad), ("p", "t", "f", "0", " -1 ", "1")])
-    assert [r["source_row"] for r in labels.vote_violations(df).collect()] == [1]
-    assert [r["hard_label"] for r in labels.derive(df).orderBy("source_row").collect()] == [None, 0]
+def test_reasons_of_all_combinations_of_blank_texts(spark):
+    blank, text = ("", "\u2003\n", None), ("word", "\u200b")
+    kinds = [(p, t, f) for p in (*blank, *text) for t in (*blank, *text) for f in (*blank, *text)]
+    df = labels.derive(rows(spark, [(*k, "0", "0", "0") for k in kinds]))
+    got = [r["exclusion_reason"] for r in df.orderBy("source_row").collect()]
+    assert got == ["" if t in text else "target_empty" if p in text or f in text else "all_text_empty" for p, t, f in kinds]
+    assert audit.row_accounting(df).agg(F.sum("n_rows")).first()[0] == len(kinds)
 
 
-def test_exclusion_reasons(spark):
-    df = labels.derive(rows(spark, [(" ", "", "\t", "0", "0", "0"), ("ctx", " ", None, "0", "0", "0"), (None, "t", None, "0", "0", "0")]))
-    assert [r["exclusion_reason"] for r in df.orderBy("source_row").collect()] == ["all_text_empty", "target_empty", ""]
-    assert audit.row_accounting(df).count() == 3
+def test_placeholders_are_told_from_texts(spark):
+    yes = ["NaN", " none", "Null\u2003", "n/a", "NA", "mi\u017fsing"]
+    no = ["-", "?", "unknown", "undefined", "n a", "missing.", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in yes + no], "t string").select(F.coalesce(tx.has_placeholder(F.col("t")), F.lit(False))).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
+    planted = audit.text_quality(labels.derive(rows(spark, [("none", "a\ufffdb", "c\x07", "0", "0", "0"), ("-", "?", "x\ty", "0", "0", "0")])))
+    assert {(r["category"], r["field"]): r["n_rows"] for r in planted.where("n_rows > 0").collect()} == {("placeholder", "preceding"): 1, ("replacement_character", "target"): 1, ("control_character", "following"): 1}
 
 
 def test_vote_summary_has_every_label_even_of_an_empty_table(spark):

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,26 @@ def test_seeds(spark):
     r = {x["experiment"]: x for x in mt.seed_summary(v).collect()}
     assert r["A"]["mean"] == 1 and r["A"]["sd"] == 1 and r["B"]["most"] == 4
     assert sorted(x["difference"] for x in mt.paired_seed_differences(v, "A", "B").collect()) == [-2, -1, 0]
+
+
+def test_hash_draws_are_poisson_and_uncorrelated():
+    times = bs.hash_times(np.arange(400), np.arange(1500)).astype(float)
+    assert times.mean() == pytest.approx(1, abs=0.01) and times.var() == pytest.approx(1, abs=0.02) and times.max() >= 7
+    assert abs(times.mean(axis=1) - 1).max() < 0.15 and abs(times.mean(axis=0) - 1).max() < 0.3
+    for a, b in ((times[1:], times[:-1]), (times[:, 1:], times[:, :-1]), (times[2:, 1:], times[:-2, :-1])):
+        assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.01
+
+
+def test_hash_metrics_equal_a_plain_sum(spark):
+    r = np.random.default_rng(1)
+    rows = [(e, int(g), *map(int, r.integers(0, 5, 4)), 9, float(g % 7), 0.5) for e in ("a", "b") for g in range(40)]
+    names = ["experiment", "group_id", "tn", "fp", "fn", "tp", "n", "nll", "brier"]
+    stats = spark.createDataFrame(rows, "experiment string, group_id long, tn long, fp long, fn long, tp long, n long, nll double, brier double").repartition(3)
+    times = bs.hash_times(np.arange(40), np.arange(20))
+    sample = spark.createDataFrame([(k, g, int(times[g, k])) for k in range(20) for g in range(40) if times[g, k]], "replicate long, group_id long, times long")
+    want = {(x["experiment"], x["replicate"]): x for x in bs.replicate_metrics(stats, sample).collect()}
+    got = bs.hash_metrics(stats, 20).collect()
+    assert len(got) == len(want) and len(names) == 9
+    for x in got:
+        for c in ("nll", "brier", "macro_f1", "recall_1"):
+            assert x[c] == pytest.approx(want[x["experiment"], x["replicate"]][c])
