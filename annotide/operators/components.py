@@ -17,6 +17,12 @@ def _jump(parents: DataFrame, times: int) -> DataFrame:
     return jumped
 
 
+def _written(edges: DataFrame, scratch: Scratch, label: str) -> tuple[DataFrame, int]:
+    """The edges, written, and their number."""
+    table, (count, _) = scratch.write_counted(edges, label, "a")
+    return table, count
+
+
 def minimum_labels(edges: DataFrame, scratch: Scratch, jumps: int = 2, name: str = "cc") -> DataFrame:
     """v and label of every vertex of ``edges`` (a BIGINT, b BIGINT): equal labels just within a component.
 
@@ -25,22 +31,20 @@ def minimum_labels(edges: DataFrame, scratch: Scratch, jumps: int = 2, name: str
     change then. The least is taken by a grouped minimum, combined before the shuffle, so a vertex with a third of all
     edges costs one row a task. A loop a = b yields its vertex with its own label.
     """
-    edges = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna().distinct(), f"{name}-edges-0")
+    lower = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna().distinct()
+    edges, left = _written(lower, scratch, f"{name}-edges-0")
     rounds: list[DataFrame] = []
-    while True:
+    while left or not rounds:
         k = len(rounds)
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a"))
-        least = scratch.write(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), f"{name}-least-{k}")
+        least = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label"))  # one exchange, reused by the jumps
         parents = scratch.write(_jump(least, jumps), f"{name}-parents-{k}")
         rounds.append(parents)
         a, b = (parents.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
         edges = edges.where("a <> b").join(a, "a").join(b, "b").where("la <> lb")
         edges = edges.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        edges = scratch.write(edges, f"{name}-edges-{k + 1}")
-        scratch.drop(f"{name}-least-{k}")
+        edges, left = _written(edges, scratch, f"{name}-edges-{k + 1}")
         scratch.drop(f"{name}-edges-{k}")
-        if edges.isEmpty():
-            break
     labels = rounds[0]
     for k, later in enumerate(rounds[1:]):
         up = later.select(F.col("v").alias(f"u{k}"), F.col("label").alias(f"to{k}"))

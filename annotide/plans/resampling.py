@@ -16,13 +16,22 @@ def _stats(spark: SparkSession, sf: str) -> DataFrame:
     return Scratch(spark, "bootstrap").write(bs.group_statistics(scores(spark, sf)), "stats")
 
 
+#: Added before rounding, as means of the twenty-valued score often lie right between two roundings.
+OFF_TIES = 1e-9
+
+
+def _hashed(spark: SparkSession, sf: str) -> DataFrame:
+    values = bs.hash_metrics(_stats(spark, sf))
+    return values.select(*(F.col(c) + OFF_TIES if t == "double" else F.col(c) for c, t in values.dtypes)).toDF(*values.columns)
+
+
 def bootstrap_hash(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals over replicates drawn by a hash."""
-    return rounded(bs.intervals(bs.hash_metrics(_stats(spark, sf))), (), 6)
+    return rounded(bs.intervals(_hashed(spark, sf)), (), 6)
 
 
 def bootstrap_replicates(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(bs.hash_metrics(_stats(spark, sf)), (), 6)
+    return rounded(_hashed(spark, sf), (), 6)
 
 
 def bootstrap_mt19937(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +58,7 @@ u AS (SELECT group_id, r AS replicate, ((x * x + r) % {_P}) / {_P}::DOUBLE AS u
 s AS (SELECT *, {" + ".join(f"(u >= {q}::DOUBLE)::INT" for q in bs.POISSON)} AS k FROM u),
 c AS (SELECT experiment, replicate, sum(tn * k) AS tn, sum(fp * k) AS fp, sum(fn * k) AS fn, sum(tp * k) AS tp, sum(nll * k) / sum(n * k) AS nll, sum(brier * k) / sum(n * k) AS brier FROM s JOIN st USING (group_id) WHERE k > 0 GROUP BY 1, 2),
 {_quotients('0', 'experiment, replicate')},
-v AS (SELECT c.experiment, c.replicate, c.nll, c.brier, CASE WHEN ok THEN macro_f1 END AS macro_f1, CASE WHEN ok THEN f1_1 END AS f1_1, CASE WHEN ok THEN recall_1 END AS recall_1, CASE WHEN ok THEN balanced_accuracy END AS balanced_accuracy
+v AS (SELECT c.experiment, c.replicate, c.nll + {OFF_TIES} AS nll, c.brier + {OFF_TIES} AS brier, CASE WHEN ok THEN macro_f1 + {OFF_TIES} END AS macro_f1, CASE WHEN ok THEN f1_1 + {OFF_TIES} END AS f1_1, CASE WHEN ok THEN recall_1 + {OFF_TIES} END AS recall_1, CASE WHEN ok THEN balanced_accuracy + {OFF_TIES} END AS balanced_accuracy
  FROM (SELECT *, tp + fn > 0 AND tn + fp > 0 AS ok FROM c) c JOIN m ON m.experiment = c.experiment AND m.replicate = c.replicate)"""
 _NAMES = ("nll", "brier", "macro_f1", "f1_1", "recall_1", "balanced_accuracy")
 SQL = {
