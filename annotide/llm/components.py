@@ -1,88 +1,5 @@
-"""Connected components by minimum labels and pointer jumping, each round written to the shared folder."""
+"""Connected components of the training-data operators: minimum labels, pointer jumping and numbers without collisions."""
 
-from __future__ import annotations
+from annotide.operators.components import Numbers, minimum_labels, numbered
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from annotide.storage import Scratch
-
-
-def _jump(parents: DataFrame, times: int) -> DataFrame:
-    """Each vertex with its parent's parent, ``times`` over."""
-    jumped = parents
-    for i in range(times):
-        up = parents.select(F.col("v").alias(f"u{i}"), F.col("label").alias(f"to{i}"))
-        jumped = jumped.join(up, jumped["label"] == up[f"u{i}"]).select("v", F.col(f"to{i}").alias("label"))
-    return jumped
-
-
-def minimum_labels(edges: DataFrame, scratch: Scratch, jumps: int = 2, name: str = "cc") -> DataFrame:
-    """v and label of every vertex of ``edges`` (a BIGINT, b BIGINT): equal labels just within a component.
-
-    Each round gives a vertex the least label among its own and its neighbours', jumps along the labels, and replaces
-    the edges by edges between labels; edges within a label vanish. It ends when no edge is left, as no label could
-    change then. The least is taken by a grouped minimum, combined before the shuffle, so a vertex with a third of all
-    edges costs one row a task. A loop a = b yields its vertex with its own label.
-    """
-    edges = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna().distinct(), f"{name}-edges-0")
-    rounds: list[DataFrame] = []
-    while True:
-        k = len(rounds)
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a"))
-        least = scratch.write(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")), f"{name}-least-{k}")
-        parents = scratch.write(_jump(least, jumps), f"{name}-parents-{k}")
-        rounds.append(parents)
-        a, b = (parents.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-        edges = edges.where("a <> b").join(a, "a").join(b, "b").where("la <> lb")
-        edges = edges.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        edges = scratch.write(edges, f"{name}-edges-{k + 1}")
-        scratch.drop(f"{name}-least-{k}")
-        scratch.drop(f"{name}-edges-{k}")
-        if edges.isEmpty():
-            break
-    labels = rounds[0]
-    for k, later in enumerate(rounds[1:]):
-        up = later.select(F.col("v").alias(f"u{k}"), F.col("label").alias(f"to{k}"))
-        labels = labels.join(up, labels["label"] == up[f"u{k}"], "left").select("v", F.coalesce(f"to{k}", "label").alias("label"))
-    return labels
-
-
-def _number(k: int, name: Column | str) -> Column:
-    """The 64-bit number that the k-th hash gives an id."""
-    return F.xxhash64(F.lit(k), name)
-
-
-class Numbers:
-    """Ids and their numbers: ``table`` has id and v, and no two ids share a v."""
-
-    def __init__(self, table: DataFrame, odd: DataFrame | None):
-        self.table = table
-        self._odd = odd
-
-    def apply(self, rows: DataFrame, name: str, number: str) -> DataFrame:
-        """``rows`` with the number of the id in column ``name`` instead of it. Without collisions no join is needed."""
-        rest = [c for c in rows.columns if c != name]
-        if self._odd is None:
-            return rows.select(*rest, _number(0, name).alias(number))
-        odd = self._odd.select(F.col("id").alias(name), F.col("v").alias("_odd"))
-        return rows.join(odd, name, "left").select(*rest, F.coalesce("_odd", _number(0, name)).alias(number))
-
-
-def numbered(ids: DataFrame, scratch: Scratch, name: str = "ids") -> Numbers:
-    """Numbers of all ids of the column ``id``.
-
-    An id's number is a hash of it. Where ids collide, all but the least of them get a number from the next hash, until
-    no two share one; about n * n / 2 ** 65 of n ids do, and a join over those alone looks their numbers up.
-    """
-    table = scratch.write(ids.select("id").dropna().distinct().select("id", _number(0, "id").alias("v")), f"{name}-0")
-    k = 0
-    while True:
-        twice = table.groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("v", "first")
-        if twice.isEmpty():
-            break
-        k += 1
-        other = F.when(F.col("first") < F.col("id"), _number(k, "id")).otherwise(F.col("v"))
-        table = scratch.write(table.join(twice, "v", "left").select("id", other.alias("v")), f"{name}-{k}")
-    odd = table.where(F.col("v") != _number(0, "id")) if k else None
-    return Numbers(table, odd)
+__all__ = ["Numbers", "minimum_labels", "numbered"]

@@ -139,7 +139,7 @@ def test_batches_give_the_components_of_all_records_at_once(spark, seed):
 
 
 def test_collisions_of_numbers_are_resolved(spark, monkeypatch):
-    from annotide.llm import components
+    from annotide.operators import components
 
     monkeypatch.setattr(components, "_number", lambda k, c: F.pmod(F.xxhash64(F.lit(k), c), F.lit(60)) + 60 * k)
     members = [(f"m{i}", f"h{i // 3}", "x") for i in range(90)]
