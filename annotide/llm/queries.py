@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annotide.storage import table
+from annotide.storage import Scratch, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,10 +52,11 @@ def _p4_placed(spark: SparkSession, sf: str, release: bool = False) -> DataFrame
     from annotide.llm.group_splits import relations, split_in_batches, split_records
 
     manifest, targets = table(spark, sf, "split_manifest"), table(spark, sf, "targets")
-    related = relations([(manifest, "source_row", "group_id"), (targets, "source_row", "rule_b_group_id")])
+    scratch = Scratch(spark, "p4")
+    related = scratch.write(relations([(manifest, "source_row", "group_id"), (targets, "source_row", "rule_b_group_id")]), "related")
     records = split_records(manifest)
     outer = manifest.select(F.col("source_row").alias("row"), F.nullif(strip("outer_split"), F.lit("")).alias("outer"))
-    late = outer.groupBy("row").agg(F.max("outer").alias("outer")).where("outer is null").select("row")
+    late = scratch.write(outer.groupBy("row").agg(F.max("outer").alias("outer")).where("outer is null").select("row"), "late")
     batches = [(records.join(late, "row", how), related.join(late, "row", how)) for how in ("left_anti", "left_semi")]
     return split_in_batches(batches, release=release)
 
