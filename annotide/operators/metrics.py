@@ -64,20 +64,45 @@ def _by_score(facts: DataFrame, score: str) -> DataFrame:
     return facts.where(F.col("y").isNotNull() & F.col(score).isNotNull()).groupBy("experiment", F.col(score).alias("score")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
 
 
+#: Parts of the range of a score, by a function that never falls: so many between 0 and 1, and as many beyond.
+SCORE_PARTS = 4_096
+
+
+def _part(score: Column) -> Column:
+    """Scores of a higher part are greater; the part beyond all holds NaN, which sorts last."""
+    x = score.cast("double")
+    squeezed = F.when(F.abs(x) == float("inf"), F.signum(x)).otherwise(x / (1 + F.abs(x)))
+    return F.when(F.isnan(x), 2 * SCORE_PARTS + 1).otherwise(F.floor(squeezed * (2 * SCORE_PARTS))).cast("int")
+
+
+def running_sums(rows: DataFrame, score: str, names: tuple[str, ...], descending: bool = False) -> DataFrame:
+    """``rows`` (experiment, ``score``, ...) with upto_<name>: the sum over the experiment's rows up to and with this one.
+
+    Rows are summed within parts of the score's range, and the parts' sums, at most ``4 * SCORE_PARTS`` an experiment,
+    are added up before them, so no task sorts a whole experiment.
+    """
+    placed = rows.withColumn("_part", _part(F.col(score)))
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    totals = placed.groupBy("experiment", "_part").agg(*(F.sum(c).alias(f"_{c}") for c in names))
+    earlier = Window.partitionBy("experiment").orderBy(order("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("experiment", "_part", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0.0)).alias(f"_{c}") for c in names))
+    within = Window.partitionBy("experiment", "_part").orderBy(order(score)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *(F.sum(c).over(within).alias(f"upto_{c}") for c in names)).join(totals, ["experiment", "_part"])
+    return summed.select(*rows.columns, *((F.col(f"upto_{c}") + F.col(f"_{c}")).alias(f"upto_{c}") for c in names))
+
+
 def roc_auc(facts: DataFrame, score: str = "p") -> DataFrame:
     """Area under the ROC curve by average ranks (Mann-Whitney); null with one class only."""
-    upto = Window.partitionBy("experiment").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(facts, score).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(upto), F.lit(0.0)))
-    won = F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2)
+    ranked = running_sums(_by_score(facts, score).withColumn("neg", F.col("n") - F.col("pos")), "score", ("neg",))
+    won = F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2)
     sums = ranked.groupBy("experiment").agg(F.sum(won).alias("won"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select("experiment", ratio(F.col("won"), F.col("p") * (F.col("n") - F.col("p"))).alias("roc_auc"))
 
 
 def average_precision(facts: DataFrame, score: str = "p") -> DataFrame:
     """Average precision, tied scores taken together; null without positives."""
-    upto = Window.partitionBy("experiment").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _by_score(facts, score).select("experiment", "pos", F.sum("pos").over(upto).alias("tp"), F.sum("n").over(upto).alias("seen"))
-    sums = ranked.groupBy("experiment").agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("s"), F.sum("pos").alias("p"))
+    ranked = running_sums(_by_score(facts, score), "score", ("pos", "n"), descending=True)
+    sums = ranked.groupBy("experiment").agg(F.sum(F.col("pos") * F.col("upto_pos") / F.col("upto_n")).alias("s"), F.sum("pos").alias("p"))
     return sums.select("experiment", ratio(F.col("s"), F.col("p")).alias("average_precision"))
 
 
@@ -137,8 +162,7 @@ def skill(facts: DataFrame, base_rate: float | None = None) -> DataFrame:
 def average_ranks(facts: DataFrame, column: str) -> DataFrame:
     """experiment, value and average rank of each distinct value of a column."""
     counts = facts.groupBy("experiment", F.col(column).alias("value")).agg(F.count("*").cast("double").alias("n"))
-    before = Window.partitionBy("experiment").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("experiment", "value", (F.coalesce(F.sum("n").over(before), F.lit(0.0)) + (F.col("n") + 1) / 2).alias("rank"))
+    return running_sums(counts, "value", ("n",)).select("experiment", "value", (F.col("upto_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def spearman(facts: DataFrame, a: str = "p", b: str = "soft") -> DataFrame:

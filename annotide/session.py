@@ -25,3 +25,19 @@ def local_session(cpus: int = 8, memory: str = "8g", **extra: str) -> SparkSessi
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors of a running cluster, as a zip file; returns its path on the driver.
+
+    Needed where the executors have not installed it: functions over Arrow batches are imported there by name.
+    """
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="annotide-package-")
+    path = shutil.make_archive(f"{folder}/annotide", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(path)
+    return path

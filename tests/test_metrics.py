@@ -194,3 +194,13 @@ def test_hash_metrics_equal_a_plain_sum(spark):
     for x in got:
         for c in ("nll", "brier", "macro_f1", "recall_1"):
             assert x[c] == pytest.approx(want[x["experiment"], x["replicate"]][c])
+
+
+def test_running_sums_over_parts_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(mt, "SCORE_PARTS", 3)
+    values = [-math.inf, -1e9, -2.0, -0.5, 0.0, 1e-9, 0.3, 0.31, 0.99, 1.0, 7.0, 1e12, math.inf, math.nan]
+    rows = spark.createDataFrame([(e, v, float(k + 1)) for e in "ab" for k, v in enumerate(values)], "experiment string, score double, n double").repartition(3)
+    for descending in (False, True):
+        got = {(r["experiment"], r["n"]): r["upto_n"] for r in mt.running_sums(rows, "score", ("n",), descending).collect()}
+        n = len(values)
+        assert got == {(e, float(k)): float(sum(range(k, n + 1)) if descending else sum(range(1, k + 1))) for e in "ab" for k in range(1, n + 1)}
