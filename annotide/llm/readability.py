@@ -228,7 +228,7 @@ def language_profile(documents: DataFrame, key: str = "doc_id", text: str = "tex
     rows = documents.where(F.col(lang).isin(*languages)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     rows = rows.where("text is not null")
     cut = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    sample = scratch.write(rows.where(F.col("h") <= F.lit(cut).cast("long")).limit(most).select("lang", "text"), "sample")
+    sample = scratch.write(rows.where(F.col("h") <= F.lit(cut).cast("long")).limit(most).select("lang", "text"), "sample").repartition(16)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
