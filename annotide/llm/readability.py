@@ -29,6 +29,8 @@ from annotide.storage import Scratch
 LANGUAGES = ("en", "de", "fr", "es")
 #: Labelled documents that the profiles are fitted on, at most.
 PROFILE_DOCUMENTS = 4_000
+#: Texts of the sample from which the spread of a language is taken, at least.
+LEAST_TEXTS = 10
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<[^<>\n]{1,80}>")
 _ADDRESS = re.compile(r"\S+@\S+\.\S+")
@@ -221,7 +223,8 @@ def language_profile(documents: DataFrame, key: str = "doc_id", text: str = "tex
     """Profiles of at most ``most`` documents labelled with one of ``languages``, drawn by a hash.
 
     A language's floor is five standard deviations below the mean of the sample's texts that are likeliest in it, or
-    the least of them if that is lower. Rows with a null text or another label are left out; without rows there is no
+    the least of them if that is lower; a language of fewer than ``LEAST_TEXTS`` such texts has none, as their spread is
+    not known. Rows with a null text or another label are left out; without rows there is no
     language.
     """
     scratch = Scratch(documents.sparkSession, "language-profile")
@@ -252,8 +255,9 @@ def language_profile(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
     least = F.least(F.min("mean"), F.avg("mean") - 5 * F.coalesce(F.stddev("mean"), F.lit(0.0)))
     long_enough = sample.where(F.length("text") >= 100).select("text")
-    for r in long_enough.mapInArrow(score, "lang string, mean double").groupBy("lang").agg(least.alias("least")).collect():
-        profile.floors[r["lang"]] = r["least"]
+    for r in long_enough.mapInArrow(score, "lang string, mean double").groupBy("lang").agg(least.alias("least"), F.count("*").alias("n")).collect():
+        if r["n"] >= LEAST_TEXTS:
+            profile.floors[r["lang"]] = r["least"]
     return profile
 
 
